@@ -54,13 +54,14 @@ def _integer_text() -> str:
     return f"(?U)^{SPACE_CLASS}*[+-]?\\d+(?:_\\d+)*+{SPACE_CLASS}*$"
 
 
-def integer_convertible(value: Column) -> Column:
+def integer_convertible(value: Column, kind: Column | None = None) -> Column:
     """True when a VARIANT can be turned into an integer.
 
     Numbers and booleans can, text when it is a whole number; null, lists and
-    objects cannot. An absent value (SQL null) gives null.
+    objects cannot. An absent value (SQL null) gives null. ``kind`` is the
+    value's ``schema_of_variant`` where that is at hand.
     """
-    kind = F.schema_of_variant(value)
+    kind = F.schema_of_variant(value) if kind is None else kind
     text = F.try_variant_get(value, "$", "string")
     return (
         F.when(value.isNull(), F.lit(None).cast("boolean"))
@@ -69,13 +70,14 @@ def integer_convertible(value: Column) -> Column:
     )
 
 
-def to_integer(value: Column) -> Column:
+def to_integer(value: Column, kind: Column | None = None) -> Column:
     """The integer a convertible VARIANT stands for, else null; fractions are cut off."""
-    kind = F.schema_of_variant(value)
+    kind = F.schema_of_variant(value) if kind is None else kind
     digits = F.replace(strip(F.try_variant_get(value, "$", "string")), F.lit("_"), F.lit(""))
     return (
-        F.when(~integer_convertible(value), F.lit(None).cast("bigint"))
+        F.when(~integer_convertible(value, kind), F.lit(None).cast("bigint"))
         .when(kind == "STRING", digits.try_cast("bigint"))
         .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("bigint"))
+        .when(kind == "DOUBLE", F.try_variant_get(value, "$", "double").try_cast("bigint"))
         .otherwise(F.try_variant_get(value, "$", "decimal(38,18)").try_cast("bigint"))
     )

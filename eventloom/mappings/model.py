@@ -225,7 +225,9 @@ def apply_mapping(
     record = Record(df, now)
     kept = [F.col(quoted(name)) for name in keep]
     if output == "flat":
-        return df.select(*kept, *mapping.flat(record))
+        leaves = df.select(*kept, *mapping.flat(record))
+        loose = [f.name for f in leaves.schema if f.dataType.typeName() == "variant"]
+        return leaves.withColumns({n: F.col(quoted(n)).cast("string") for n in loose})
     if output == "document":
         return df.select(*kept, mapping.document(record).alias("event"))
     if output == "event":

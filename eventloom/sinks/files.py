@@ -41,17 +41,22 @@ def write_event_store(
     _clustered(events, rebalance, PARTITIONS).write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
 
 
-def write_json_array(events: DataFrame, path: str) -> None:
-    """One JSON array per (run, format, log type), for small exports only.
+def write_json_array(events: DataFrame, path: str, most: int = 10_000) -> None:
+    """JSON array documents of at most ``most`` events for each run, format and log type.
 
-    Each group is collected into one row; use :func:`write_event_files` for
-    anything of size.
+    A loader gets the same events from several arrays as from one, and no group is
+    ever gathered whole.
     """
     keys = ("format", "cve_name", "log_type")
-    arrays = events.groupBy(*keys).agg(
-        F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("event")), ","), F.lit("]")).alias("value")
+    # Rows that follow each other in a task share a chunk.
+    chunk = F.floor(F.monotonically_increasing_id() / most).alias("_chunk")
+    array = F.concat(F.lit("["), F.array_join(F.collect_list("event"), ","), F.lit("]"))
+    arrays = (
+        events.select(*keys, "event", chunk).groupBy(*keys, "_chunk").agg(array.alias("value"))
     )
-    arrays.write.mode("append").partitionBy(*keys).text(path)
+    # One document to a file, as its readers expect.
+    writer = arrays.drop("_chunk").write.option("maxRecordsPerFile", 1).mode("append")
+    writer.partitionBy(*keys).text(path)
 
 
 def write_documents(events: DataFrame, path: str, mode: str = "append") -> None:

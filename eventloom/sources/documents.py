@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from eventloom.constants import FORMAT_TABLES, TEXT_FORMAT
 from eventloom.functions.jsontext import document_events
@@ -79,11 +80,14 @@ def read_format(reader, root: str, format: str) -> DataFrame:
 
 def read_layout(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Events of every format that has files, by format."""
-    found = {
-        row.format
-        for row in list_artefacts(spark, root).select("format").distinct().collect()
-    }
-    return {name: read_format(spark.read, root, name) for name in FORMAT_TABLES if name in found}
+    found = {}
+    for name in FORMAT_TABLES:
+        try:
+            found[name] = read_format(spark.read, root, name)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return found
 
 
 def list_artefacts(spark: SparkSession, root: str) -> DataFrame:

@@ -48,6 +48,10 @@ def read_log(
             .schema(f"{schema}, {CORRUPT} STRING")
             .json(root)
         )
+        # Spark does not read a log for its broken lines alone; a field that goes
+        # with them is enough.
+        broken = F.when(F.length("uid") < 0, "").otherwise(F.col(CORRUPT))
+        df = df.withColumn(CORRUPT, broken)
     return df.withColumn(SOURCE_PATH, F.col("_metadata.file_path"))
 
 

@@ -56,28 +56,16 @@ def monitor_layout(
     ]
 
 
-def route_batches(
-    events: DataFrame,
-    target: Callable[[str], str],
-    checkpoint: str,
-    formats: tuple[str, ...] = tuple(FORMAT_TABLES),
-) -> StreamingQuery:
-    """Write a stream of events of all formats to one place per format.
+def route_batches(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Write a stream of events of all formats to one folder per format.
 
-    Each batch is one write, partitioned by format and batch: a batch that runs
-    again after a failure replaces its own output, so every event is there once.
-    ``target("")`` is not asked for; the folder of a format is
-    ``target(format)``/batch=N.
+    A batch is one write to ``target/batch_id=N/format=…``. A batch that runs again
+    after a failure replaces its own output, so every event is there once; reading
+    ``target`` with a filter on ``format`` opens that format's folders only.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            for name in formats:
-                rows = batch.filter(F.col("format") == name).drop("format")
-                rows.write.mode("overwrite").parquet(f"{target(name)}/batch={batch_id}")
-        finally:
-            batch.unpersist()
+        batch.write.mode("overwrite").partitionBy("format").parquet(f"{target}/batch_id={batch_id}")
 
     return (
         events.writeStream.foreachBatch(write)
