@@ -8,6 +8,8 @@ the costly branches.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ PORT = r"0*?(|0|[1-9][0-9]{0,4})"
 PATH_CHARACTERS = "A-Za-z0-9._~!$&'()*+,;=:@/\\-"
 QUERY_CHARACTERS = PATH_CHARACTERS + "?"
 
+DOT_SEGMENT = r"(?:^|/)\.\.?(?:/|\z)"
+
 # Allowed characters that url_encode() escapes all the same.
 OVER_ENCODED = "~!$&'()+,;=:@/?"
 
@@ -68,7 +72,7 @@ def _remove_dot_segments(path: Column) -> Column:
             "/",
         ),
     )
-    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|\z)"), kept).otherwise(path)
+    return F.when(path.rlike(DOT_SEGMENT), kept).otherwise(path)
 
 
 def _upper_case_triplets(text: Column) -> Column:
@@ -88,13 +92,26 @@ def _percent_encode(text: Column, allowed: str) -> Column:
     for ch in OVER_ENCODED:
         if ch != "?" or "?" in allowed:
             encoded = F.replace(encoded, F.lit(f"%{ord(ch):02X}"), F.lit(ch))
+    # A stray "%" leaves every "%" escaped.
     stray = text.rlike("%(?![0-9a-fA-F]{2})")
-    encoded = F.when(stray, encoded).otherwise(F.replace(encoded, F.lit("%25"), F.lit("%")))
-    return F.when(text.rlike(rf"^[{allowed}]*\z"), text).otherwise(encoded)
+    return F.replace(encoded, F.lit("%25"), F.when(stray, "%25").otherwise("%"))
+
+
+def _plain(text: Column, allowed: str) -> Column:
+    return text.rlike(rf"^[{allowed}]*\z")
+
+
+def _rarely(text: Column, change: Callable[[Column], Column]) -> Column:
+    """``change`` of a text, for branches few rows take.
+
+    Inside a lambda the change is evaluated as it stands and adds nothing to the
+    generated code, which has to stay small for the many rows that pass by.
+    """
+    return F.transform(F.array(text), change)[0]
 
 
-def _normal_host(raw: Column) -> Column:
-    """Lower-case a host; in an IPv6 zone, only the separator is unified."""
+def _normal_literal(raw: Column) -> Column:
+    """Lower-case an address in brackets; of a zone only the separator is unified."""
     zone = r"^(\[[^%]*)%(?:25(?=.))?([^\]]+)\]$"
     literal = F.concat(
         F.lower(F.regexp_extract(raw, zone, 1)),
@@ -103,8 +120,12 @@ def _normal_host(raw: Column) -> Column:
         F.lit("]"),
     )
     # "%25" alone before the bracket is a separator plus the zone "25".
-    literal = F.when(raw.endswith("%25]"), F.concat(F.lower(F.substring_index(raw, "%", 1)), F.lit("%25]"))).otherwise(literal)
-    return F.when(raw.startswith("[") & raw.contains("%"), literal).otherwise(F.lower(raw))
+    short = F.concat(F.lower(F.substring_index(raw, "%", 1)), F.lit("%25]"))
+    return (
+        F.when(~raw.contains("%"), F.lower(raw))
+        .when(raw.endswith("%25]"), short)
+        .otherwise(literal)
+    )
 
 
 def with_url_parts(df: DataFrame, source: Column | str, prefix: str) -> DataFrame:
@@ -124,78 +145,100 @@ def with_url_parts(df: DataFrame, source: Column | str, prefix: str) -> DataFram
     def got(part: str) -> Column:
         return F.col(name(part))
 
-    full = F.when(text.startswith("/") | text.rlike(SCHEME_OR_PATH), text).otherwise(
+    web = text.startswith("http://") | text.startswith("https://")
+    full = F.when(text.startswith("/") | web | text.rlike(SCHEME_OR_PATH), text).otherwise(
         F.concat(F.lit("//"), text)
     )
     df = df.withColumn(name("full"), F.when(text != "", full))
     df = df.withColumn(name("plain"), F.substring_index(got("full"), "#", 1))
     df = df.withColumn(name("head"), F.substring_index(got("plain"), "?", 1))
 
-    rooted = got("head").startswith("/") & ~got("head").startswith("//")
+    # The two usual shapes, a path alone and an http URL, need no pattern.
+    head = got("head")
+    rooted = head.startswith("/") & ~head.startswith("//")
+    web = (head.startswith("http://") | head.startswith("https://")) & ~head.contains("\\")
+    after = F.substr(head, F.instr(head, "//") + 2)
     df = df.withColumns(
         {
-            name("scheme"): F.when(rooted, "").otherwise(
-                F.lower(F.regexp_extract(got("head"), HIERARCHY, 1))
-            ),
-            name("authority"): F.when(rooted, "").otherwise(
-                F.regexp_extract(got("head"), HIERARCHY, 2)
-            ),
-            name("path"): F.when(rooted, got("head")).otherwise(
-                F.regexp_extract(got("head"), HIERARCHY, 3)
-            ),
+            name("scheme"): F.when(rooted, "")
+            .when(web, F.substring_index(head, ":", 1))
+            .otherwise(F.lower(F.regexp_extract(head, HIERARCHY, 1))),
+            name("authority"): F.when(rooted, "")
+            .when(web, F.substring_index(after, "/", 1))
+            .otherwise(F.regexp_extract(head, HIERARCHY, 2)),
+            name("path"): F.when(rooted, head)
+            .when(web, F.substr(after, F.length(F.substring_index(after, "/", 1)) + 1))
+            .otherwise(F.regexp_extract(head, HIERARCHY, 3)),
             name("query"): F.when(
                 F.instr(got("plain"), "?") > 0,
-                F.substr(got("plain"), F.length(got("head")) + 2),
+                F.substr(got("plain"), F.length(head) + 2),
             ),
             name("fragment"): F.instr(got("full"), "#") > 0,
         }
     )
 
-    host_port = F.substring_index(got("authority"), "@", -1)
     df = df.withColumns(
         {
             name("normal"): got("scheme").isin("", "http", "https"),
-            name("found"): (got("authority") == "") | host_port.rlike(HOST_AND_PORT),
-            name("raw"): F.when(
-                got("authority") != "", F.regexp_extract(host_port, HOST_AND_PORT, 1)
-            ),
-            name("port"): F.when(
-                got("authority").contains(":"), F.regexp_extract(host_port, HOST_AND_PORT, 2)
-            ),
+            name("site"): F.substring_index(got("authority"), "@", -1),
+            name("simple"): got("authority").rlike(r"^[A-Za-z0-9._~\-]*\z"),
+        }
+    )
+    site = got("site")
+    df = df.withColumns(
+        {
+            name("raw"): F.when(got("authority") == "", F.lit(None).cast("string"))
+            .when(got("simple"), site)
+            .otherwise(F.regexp_extract(site, HOST_AND_PORT, 1)),
+            name("port"): F.when(~got("simple"), F.regexp_extract(site, HOST_AND_PORT, 2)),
         }
     )
     port_fits = F.coalesce(got("port").try_cast("int"), F.lit(0)) <= MAX_PORT
-    ascii_host = F.coalesce(got("raw").rlike(r"^[\x00-\x7f]*\z"), F.lit(True))
-    df = df.withColumn(f"{prefix}_ok", F.when(got("full").isNull(), text == "").otherwise(
-        got("found") & port_fits & (~got("normal") | ascii_host)
-    ))
-    ok = F.col(f"{prefix}_ok")
-
+    ascii_host = ~got("normal") | got("raw").rlike(r"^[\x00-\x7f]*\z")
     df = df.withColumn(
-        name("resolved"),
-        F.when(got("normal"), _remove_dot_segments(got("path"))).otherwise(got("path")),
-    )
-    path = F.when(got("normal"), _percent_encode(got("resolved"), PATH_CHARACTERS)).otherwise(
-        got("resolved")
+        f"{prefix}_ok",
+        F.when(got("full").isNull(), text == "").otherwise(
+            got("simple") | (site.rlike(HOST_AND_PORT) & port_fits & ascii_host)
+        ),
     )
-    df = df.withColumn(name("clean"), path)
-    empty = F.when(got("query").isNotNull() | got("fragment"), "")
-    query = F.when(got("normal"), _percent_encode(got("query"), QUERY_CHARACTERS)).otherwise(
-        got("query")
+    ok = F.col(f"{prefix}_ok")
+
+    # The costly steps, for the rows that need them, in a step of their own.
+    path = got("path")
+    dotted = (path.contains("/.") | path.startswith(".")) & path.rlike(DOT_SEGMENT)
+    untidy = dotted | ~_plain(path, PATH_CHARACTERS)
+    df = df.withColumns(
+        {
+            name("clean"): F.when(
+                got("normal") & untidy,
+                _rarely(
+                    got("path"),
+                    lambda path: _percent_encode(_remove_dot_segments(path), PATH_CHARACTERS),
+                ),
+            ).otherwise(got("path")),
+            name("tidy"): F.when(
+                got("normal") & ~_plain(got("query"), QUERY_CHARACTERS),
+                _rarely(got("query"), lambda query: _percent_encode(query, QUERY_CHARACTERS)),
+            ).otherwise(got("query")),
+            name("name"): F.when(
+                got("normal") & got("raw").startswith("["), _rarely(got("raw"), _normal_literal)
+            )
+            .when(got("normal"), F.lower(got("raw")))
+            .otherwise(got("raw")),
+        }
     )
+    empty = F.when(got("tidy").isNotNull() | got("fragment"), "")
     df = df.withColumns(
         {
-            f"{prefix}_host": F.when(
-                ok, F.when(got("normal"), _normal_host(got("raw"))).otherwise(got("raw"))
-            ),
+            f"{prefix}_host": F.when(ok, got("name")),
             f"{prefix}_path": F.when(
                 ok,
                 F.when(got("clean") == "", empty)
                 .when(got("clean").startswith("/"), got("clean"))
                 .otherwise(F.concat(F.lit("/"), got("clean"))),
             ),
-            f"{prefix}_query": F.when(ok, query),
+            f"{prefix}_query": F.when(ok, got("tidy")),
         }
     )
-    helpers = "full plain head scheme authority path query fragment normal found raw port resolved clean"
+    helpers = "full plain head scheme authority path query fragment normal site simple raw port clean tidy name"
     return df.drop(*(name(part) for part in helpers.split()))

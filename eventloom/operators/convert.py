@@ -53,11 +53,8 @@ def fan_out(
             for name, mapping in mappings.items()
         )
     )
-    return df.select(
-        *(F.col(quoted(name)) for name in keep),
-        F.lit(family).alias("log_family"),
-        F.inline(rows),
-    )
+    kept = [F.col(quoted(name)) for name in keep]
+    return df.select(*kept, F.lit(family).alias("log_family"), F.inline(rows))
 
 
 def document(cve_name: Column, log_type: Column, event: Column, keys: Iterable[str] = ()) -> Column:

@@ -114,32 +114,33 @@ def quiet_snapshots(
     only its first and last snapshots are put in sequence over the buckets, so a
     single busy target is spread over many tasks.
     """
-    order, keep = list(order), list(keep)
+    order = list(order)
+    carried = list(dict.fromkeys([*order, *keep]))
     # A digest, not the log itself, goes through the shuffle.
-    digest = F.sha2(F.col(content), 256)
-    position = F.struct(*(F.col(name) for name in order))
     rows = snapshots.select(
         F.col(target),
         bucket.alias("_bucket"),
-        *(F.col(c) for c in dict.fromkeys([*order, *keep])),
-        digest.alias("_digest"),
+        *(F.col(c) for c in carried),
+        F.unhex(F.sha2(F.col(content), 256)).alias("_digest"),
     )
     within = Window.partitionBy(target, "_bucket").orderBy(*order)
-    inner = rows.withColumn("_before", F.lag("_digest").over(within)).filter(
-        F.col("_before") == F.col("_digest")
+    sorted_rows = rows.select(
+        "*",
+        F.row_number().over(within).alias("_number"),
+        F.lag("_digest").over(within).alias("_before"),
+        F.lead(F.lit(False), 1, True).over(within).alias("_last"),
     )
-    carried = [c for c in dict.fromkeys([*order, *keep])]
-    ends = rows.groupBy(target, "_bucket").agg(
-        F.min_by(F.struct("_digest", *carried), position).alias("_first"),
-        F.max_by("_digest", position).alias("_last"),
-    )
-    over = Window.partitionBy(target).orderBy("_bucket")
+    inner = sorted_rows.filter(F.col("_before") == F.col("_digest")).select(target, *carried)
+    # The ends of the buckets, few against all rows, are put in sequence; both
+    # branches read the same shuffle.
+    ends = sorted_rows.filter((F.col("_number") == 1) | F.col("_last"))
+    across = Window.partitionBy(target).orderBy(*order)
     edges = (
-        ends.withColumn("_before", F.lag("_last").over(over))
-        .filter(F.col("_before") == F.col("_first._digest"))
-        .select(target, *(F.col(f"_first.{c}").alias(c) for c in carried))
+        ends.withColumn("_before", F.lag("_digest").over(across))
+        .filter((F.col("_number") == 1) & (F.col("_before") == F.col("_digest")))
+        .select(target, *carried)
     )
-    return inner.select(target, *carried).unionByName(edges)
+    return inner.unionByName(edges)
 
 
 def first_quiet(quiet: DataFrame, target: str, order: Iterable[str]) -> DataFrame:

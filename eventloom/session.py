@@ -26,6 +26,7 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
     settings = {
         **RECOMMENDED,
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.shuffle.partitions": "8",
         **conf,
