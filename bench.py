@@ -5,7 +5,7 @@ come in one small file each, which Spark cannot split; they are copied into one
 file per core first, the way a large table is laid out. Every query then runs in
 full into a sink that drops the rows, twice, and the better time counts: the first
 run pays for compiling. Two end-to-end rows convert JSON log files into event files
-of all five formats, read and write included, once.
+of all five formats, read and write included.
 """
 
 from __future__ import annotations
@@ -100,13 +100,14 @@ def main() -> None:
         lines.repartition(cpus, "cve_name").write.partitionBy("cve_name", "format").text(logs)
         rows = records.count()
 
-        def convert_all(family=family, logs=logs) -> None:
+        def convert_all(run: int, family=family, logs=logs) -> None:
             log = good_records(read_log(spark, logs, family, "part-*.txt"))
             tagged = with_path_columns(log, "source_path").drop("format", "log_family")
-            write_event_files(fan_out(tagged, family, ["cve_name"]), f"{work}/out/{family}")
+            events = fan_out(tagged, family, ["cve_name"])
+            write_event_files(events, f"{work}/out{run}/{family}")
 
         name = f"e2e_convert_{family}"
-        results[name] = timed(convert_all)
+        results[name] = min(timed(lambda: convert_all(run)) for run in range(2))
         rates[name] = round(rows / results[name])
     spark.stop()
     shutil.rmtree(work, ignore_errors=True)

@@ -36,11 +36,9 @@ def strip(value: Column) -> Column:
 
 def http_activity_id(method: Column) -> Column:
     """OCSF activity id of an HTTP method, any case; 0 when unknown."""
-    lowered = F.lower(method)
-    known = None
-    for name, number in HTTP_ACTIVITY_IDS.items():
-        known = (F if known is None else known).when(lowered == name, number)
-    return F.when(method.isNull(), F.lit(None).cast("int")).otherwise(known.otherwise(0))
+    pairs = [F.lit(x) for pair in HTTP_ACTIVITY_IDS.items() for x in pair]
+    found = F.try_element_at(F.create_map(*pairs), F.lower(method))
+    return F.when(method.isNotNull(), F.coalesce(found, F.lit(0)))
 
 
 def epoch_millis(seconds: Column) -> Column:

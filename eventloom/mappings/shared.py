@@ -34,12 +34,13 @@ class CefMapping:
     name: Callable[[Record], Column]
     extensions: Mapping
     severity: str = "3"
+    escape_newlines: bool = False
 
     @property
     def prepare(self) -> Callable[[DataFrame], DataFrame]:
         return self.extensions.prepare
 
-    def document(self, record: Record, escape_newlines: bool = False) -> Column:
+    def document(self, record: Record) -> Column:
         header = [
             F.lit(self.identity.vendor),
             F.lit(self.identity.product),
@@ -49,7 +50,7 @@ class CefMapping:
             F.lit(self.severity),
         ]
         pairs = [(path[-1], value.text()) for path, value in self.extensions.values(record)]
-        return cef_line(header, pairs, escape_newlines)
+        return cef_line(header, pairs, self.escape_newlines)
 
     # A CEF event is its line, whichever form is asked for.
     event = document

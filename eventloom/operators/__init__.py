@@ -1,6 +1,12 @@
 """Operators: conversions, naming, detection, manifest checks."""
 
-from eventloom.operators.convert import convert, documents, fan_out, text_documents
+from eventloom.operators.convert import (
+    cluster_by_run,
+    convert,
+    documents,
+    fan_out,
+    text_documents,
+)
 from eventloom.operators.detect import (
     detect_port,
     first_quiet,
@@ -14,6 +20,7 @@ from eventloom.operators.manifest import read_entries, resolve_runs, validate_ma
 from eventloom.operators.naming import with_path_columns
 
 __all__ = [
+    "cluster_by_run",
     "convert",
     "detect_port",
     "documents",

@@ -57,6 +57,16 @@ def fan_out(
     return df.select(*kept, F.lit(family).alias("log_family"), F.inline(rows))
 
 
+def cluster_by_run(records: DataFrame, run: str = "cve_name") -> DataFrame:
+    """Bring the records of a run together before they are converted and written.
+
+    For input that is not laid out by run. It moves the records once, not their
+    five events; Spark splits a run that is too large for one task and joins small
+    ones.
+    """
+    return records.hint("rebalance", run)
+
+
 def document(cve_name: Column, log_type: Column, event: Column, keys: Iterable[str] = ()) -> Column:
     """A search-index document: run and log type, then the fields of the event.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventloom.functions.jsontext import document_events
-from eventloom.operators.convert import fan_out, text_documents
+from eventloom.operators.convert import cluster_by_run, fan_out, text_documents
 from eventloom.operators.detect import missing_formats, port_match
 from eventloom.operators.naming import with_path_columns
 from eventloom.plans import adapters, conversions
@@ -233,6 +233,20 @@ def event_files_rebalanced(spark, sf_dir):
     return lines.groupBy("format", "log_family", "cve_name").agg(F.count("*").alias("events"))
 
 
+@query(
+    "k01_clustered_by_run",
+    f"""WITH {CONN_CTE} SELECT cve_name, format, count(*) AS events FROM conn,
+        (SELECT unnest(['cim', 'ecs', 'ocsf', 'cef', 'udm']) AS format) AS f GROUP BY ALL""",
+)
+def clustered_files(spark, sf_dir):
+    """Records brought together by run before they fan out into files."""
+    root = work_folder(spark, "files")
+    conn = cluster_by_run(adapters.zeek_conn(spark, sf_dir))
+    write_event_files(fan_out(conn, "network", ["cve_name"]), root)
+    lines = spark.read.text(root).filter(F.length("value") > 0)
+    return lines.groupBy("cve_name", "format").agg(F.count("*").alias("events"))
+
+
 @query(
     "k03_process_snapshots",
     f"""WITH {PROC_CTE} SELECT cve_name, count(DISTINCT ts) AS snapshots, min(ts) AS first_ts, 5 * count(*) AS events
@@ -253,7 +267,7 @@ def process_snapshots(spark, sf_dir):
 
 @query(
     "k04_log_tables",
-    f"""WITH {CONN_CTE} SELECT cve_name, sum(coalesce(orig_bytes, 0) + coalesce(resp_bytes, 0)) AS bytes,
+    f"""WITH {CONN_CTE} SELECT cve_name, CAST(sum(coalesce(orig_bytes, 0) + coalesce(resp_bytes, 0)) AS BIGINT) AS bytes,
         count(*) AS events FROM conn GROUP BY 1""",
 )
 def log_tables(spark, sf_dir):
@@ -271,7 +285,7 @@ def log_tables(spark, sf_dir):
 @query(
     "k05_search_documents",
     f"""WITH {CONN_CTE} SELECT cve_name, 'network' AS log_type, count(*) AS documents,
-        sum(coalesce(orig_bytes, 0)) AS bytes_in FROM conn GROUP BY 1""",
+        CAST(sum(coalesce(orig_bytes, 0)) AS BIGINT) AS bytes_in FROM conn GROUP BY 1""",
 )
 def search_documents(spark, sf_dir):
     """Documents exported as JSON lines, one folder per index; the CIM index is read."""
@@ -305,7 +319,7 @@ def cef_documents(spark, sf_dir):
 
 @query(
     "g07_json_arrays",
-    f"""WITH {CONN_CTE} SELECT cve_name, count(*) AS events, sum(coalesce(resp_bytes, 0)) AS bytes_out
+    f"""WITH {CONN_CTE} SELECT cve_name, count(*) AS events, CAST(sum(coalesce(resp_bytes, 0)) AS BIGINT) AS bytes_out
         FROM conn GROUP BY 1""",
 )
 def json_arrays(spark, sf_dir):
