@@ -8,11 +8,13 @@ the costly branches.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.schemas import quoted
+
 # The grammar of RFC 3986.
 SCHEME_OR_PATH = r"^(?:[a-zA-Z][a-zA-Z0-9+\-]*:|/)"
 HIERARCHY = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^\\/]*))?(.*)$"
@@ -48,88 +50,83 @@ def _ipv6_literal() -> str:
 HOST_AND_PORT = f"(?ds)^({REGISTERED_NAME}|{_ipv6_literal()})(?::{PORT})?$"
 
 
-def _remove_dot_segments(path: Column) -> Column:
-    """Resolve ``.`` and ``..`` segments of a path."""
-    kept = F.aggregate(
-        F.split(path, "/"),
-        F.array().cast("array<string>"),
-        lambda seen, part: F.when(part == ".", seen)
-        .when(part == "..", F.slice(seen, 1, F.greatest(F.size(seen) - 1, F.lit(0))))
-        .otherwise(F.array_append(seen, part)),
-        # Rooted paths keep their leading slash, and a trailing dot segment
-        # leaves a trailing slash.
-        lambda seen: F.array_join(
-            F.concat(
-                F.when(
-                    path.startswith("/") & (F.coalesce(F.try_element_at(seen, F.lit(1)), F.lit("x")) != ""),
-                    F.array(F.lit("")),
-                ).otherwise(F.array().cast("array<string>")),
-                seen,
-                F.when(path.rlike(r"/\.\.?\z"), F.array(F.lit(""))).otherwise(
-                    F.array().cast("array<string>")
-                ),
-            ),
-            "/",
-        ),
-    )
-    return F.when(path.rlike(DOT_SEGMENT), kept).otherwise(path)
+# The steps below are SQL text over a lambda variable ``t``: long chains are built
+# and parsed much faster that way than call by call.
+
+_NONE = "CAST(array() AS array<string>)"
+
+
+def _without_dot_segments() -> str:
+    """Resolve ``.`` and ``..`` segments of a path; a rooted path keeps its leading
+    slash, and a trailing dot segment leaves a trailing slash."""
+    return rf"""CASE WHEN t RLIKE r'{DOT_SEGMENT}' THEN aggregate(
+        split(t, '/'), {_NONE},
+        (seen, part) -> CASE WHEN part = '.' THEN seen
+            WHEN part = '..' THEN slice(seen, 1, greatest(size(seen) - 1, 0))
+            ELSE array_append(seen, part) END,
+        seen -> array_join(concat(
+            CASE WHEN startswith(t, '/') AND coalesce(try_element_at(seen, 1), 'x') <> ''
+                THEN array('') ELSE {_NONE} END,
+            seen,
+            CASE WHEN t RLIKE r'/\.\.?\z' THEN array('') ELSE {_NONE} END), '/'))
+        ELSE t END"""
 
 
-def _upper_case_triplets(text: Column) -> Column:
+def _upper_case_triplets() -> str:
     """Upper-case the hex digits of every ``%xx``."""
-    out = text
+    changed = "t"
     for digit in "abcdef":
-        out = F.regexp_replace(
-            out, f"(?<=%){digit}(?=[0-9a-fA-F])|(?<=%[0-9a-fA-F]){digit}", digit.upper()
-        )
-    return F.when(text.rlike("%(?:[a-f][0-9a-fA-F]|[0-9A-F][a-f])"), out).otherwise(text)
+        after = f"(?<=%){digit}(?=[0-9a-fA-F])|(?<=%[0-9a-fA-F]){digit}"
+        changed = f"regexp_replace({changed}, '{after}', '{digit.upper()}')"
+    return f"CASE WHEN t RLIKE '%(?:[a-f][0-9a-fA-F]|[0-9A-F][a-f])' THEN {changed} ELSE t END"
 
 
-def _percent_encode(text: Column, allowed: str) -> Column:
-    """Percent-encode what is not allowed; ``%`` stays only if all of them start a triplet."""
-    upper = _upper_case_triplets(text)
-    encoded = F.replace(F.url_encode(upper), F.lit("+"), F.lit("%20"))
+def _percent_encoded(allowed: str) -> str:
+    """Percent-encode what is not allowed, in text with upper-case triplets."""
+    encoded = "replace(url_encode(t), '+', '%20')"
     for ch in OVER_ENCODED:
         if ch != "?" or "?" in allowed:
-            encoded = F.replace(encoded, F.lit(f"%{ord(ch):02X}"), F.lit(ch))
+            encoded = f"replace({encoded}, '%{ord(ch):02X}', chr({ord(ch)}))"
     # A stray "%" leaves every "%" escaped.
-    stray = text.rlike("%(?![0-9a-fA-F]{2})")
-    return F.replace(encoded, F.lit("%25"), F.when(stray, "%25").otherwise("%"))
+    kept = "CASE WHEN t RLIKE '%(?![0-9A-F]{2})' THEN '%25' ELSE '%' END"
+    return f"replace({encoded}, '%25', {kept})"
+
+
+def _normal_literal() -> str:
+    """Lower-case an address in brackets; of a zone only the separator is unified."""
+    zone = r"^(\[[^%]*)%(?:25(?=.))?([^\]]+)\]$"
+    # "%25" alone before the bracket is a separator plus the zone "25".
+    return f"""CASE WHEN NOT contains(t, '%') THEN lower(t)
+        WHEN endswith(t, '%25]') THEN concat(lower(substring_index(t, '%', 1)), '%25]')
+        ELSE concat(lower(regexp_extract(t, r'{zone}', 1)), '%',
+            transform(array(regexp_extract(t, r'{zone}', 2)), t -> {_upper_case_triplets()})[0],
+            ']') END"""
 
 
 def _plain(text: Column, allowed: str) -> Column:
     return text.rlike(rf"^[{allowed}]*\z")
 
 
-def _rarely(text: Column, change: Callable[[Column], Column]) -> Column:
-    """``change`` of a text, for branches few rows take.
+def _rarely(column: str, *steps: str) -> Column:
+    """Apply SQL steps in turn, for branches few rows take.
 
-    Inside a lambda the change is evaluated as it stands and adds nothing to the
+    Inside a lambda a step is evaluated as it stands and adds nothing to the
     generated code, which has to stay small for the many rows that pass by.
     """
-    return F.transform(F.array(text), change)[0]
-
-
-def _normal_literal(raw: Column) -> Column:
-    """Lower-case an address in brackets; of a zone only the separator is unified."""
-    zone = r"^(\[[^%]*)%(?:25(?=.))?([^\]]+)\]$"
-    literal = F.concat(
-        F.lower(F.regexp_extract(raw, zone, 1)),
-        F.lit("%"),
-        _upper_case_triplets(F.regexp_extract(raw, zone, 2)),
-        F.lit("]"),
-    )
-    # "%25" alone before the bracket is a separator plus the zone "25".
-    short = F.concat(F.lower(F.substring_index(raw, "%", 1)), F.lit("%25]"))
-    return (
-        F.when(~raw.contains("%"), F.lower(raw))
-        .when(raw.endswith("%25]"), short)
-        .otherwise(literal)
-    )
+    value = f"array({quoted(column)})"
+    for step in steps:
+        value = f"transform({value}, t -> {step})"
+    return F.expr(f"{value}[0]")
 
 
-def with_url_parts(df: DataFrame, source: Column | str, prefix: str) -> DataFrame:
-    """Add ``<prefix>_host``, ``_path``, ``_query`` and ``_ok`` for a URL column.
+def with_url_parts(
+    df: DataFrame,
+    source: Column | str,
+    prefix: str,
+    parts: Iterable[str] = ("host", "path", "query"),
+) -> DataFrame:
+    """Add ``<prefix>_host``, ``_path``, ``_query`` (those asked for) and ``_ok`` for
+    a URL column.
 
     A text without scheme or leading slash is read as host and path. Hosts are
     lower-cased, dot segments resolved and illegal characters percent-encoded
@@ -204,41 +201,38 @@ def with_url_parts(df: DataFrame, source: Column | str, prefix: str) -> DataFram
     ok = F.col(f"{prefix}_ok")
 
     # The costly steps, for the rows that need them, in a step of their own.
-    path = got("path")
+    path, query, raw = got("path"), got("query"), got("raw")
     dotted = (path.contains("/.") | path.startswith(".")) & path.rlike(DOT_SEGMENT)
     untidy = dotted | ~_plain(path, PATH_CHARACTERS)
-    df = df.withColumns(
-        {
-            name("clean"): F.when(
-                got("normal") & untidy,
-                _rarely(
-                    got("path"),
-                    lambda path: _percent_encode(_remove_dot_segments(path), PATH_CHARACTERS),
-                ),
-            ).otherwise(got("path")),
+    upper = _upper_case_triplets()
+    clean_path = _rarely(
+        name("path"), _without_dot_segments(), upper, _percent_encoded(PATH_CHARACTERS)
+    )
+    clean_query = _rarely(name("query"), upper, _percent_encoded(QUERY_CHARACTERS))
+    steps = {
+        "path": {name("clean"): F.when(got("normal") & untidy, clean_path).otherwise(path)},
+        "query": {
             name("tidy"): F.when(
-                got("normal") & ~_plain(got("query"), QUERY_CHARACTERS),
-                _rarely(got("query"), lambda query: _percent_encode(query, QUERY_CHARACTERS)),
-            ).otherwise(got("query")),
+                got("normal") & ~_plain(query, QUERY_CHARACTERS), clean_query
+            ).otherwise(query)
+        },
+        "host": {
             name("name"): F.when(
-                got("normal") & got("raw").startswith("["), _rarely(got("raw"), _normal_literal)
+                got("normal") & raw.startswith("["), _rarely(name("raw"), _normal_literal())
             )
-            .when(got("normal"), F.lower(got("raw")))
-            .otherwise(got("raw")),
-        }
-    )
-    empty = F.when(got("tidy").isNotNull() | got("fragment"), "")
-    df = df.withColumns(
-        {
-            f"{prefix}_host": F.when(ok, got("name")),
-            f"{prefix}_path": F.when(
-                ok,
-                F.when(got("clean") == "", empty)
-                .when(got("clean").startswith("/"), got("clean"))
-                .otherwise(F.concat(F.lit("/"), got("clean"))),
-            ),
-            f"{prefix}_query": F.when(ok, got("tidy")),
-        }
+            .when(got("normal"), F.lower(raw))
+            .otherwise(raw)
+        },
+    }
+    clean = got("clean")
+    empty = F.when(query.isNotNull() | got("fragment"), "")
+    rooted_path = (
+        F.when(clean == "", empty)
+        .when(clean.startswith("/"), clean)
+        .otherwise(F.concat(F.lit("/"), clean))
     )
-    helpers = "full plain head scheme authority path query fragment normal site simple raw port clean tidy name"
-    return df.drop(*(name(part) for part in helpers.split()))
+    results = {"host": got("name"), "path": rooted_path, "query": got("tidy")}
+    parts = list(parts)
+    df = df.withColumns({k: v for part in parts for k, v in steps[part].items()})
+    df = df.withColumns({f"{prefix}_{part}": F.when(ok, results[part]) for part in parts})
+    return df.drop(*(c for c in df.columns if c.startswith(f"__{prefix}_")))

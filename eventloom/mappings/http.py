@@ -34,7 +34,7 @@ def _url_columns(df: DataFrame) -> DataFrame:
     """Parts of the request URL and of the referrer; "-" stands for an absent one."""
     record = Record(df)
     df = with_url_parts(df, record.default("uri", F.lit("-")), "uri")
-    return with_url_parts(df, record.default("referrer", F.lit("-")), "referrer")
+    return with_url_parts(df, record.default("referrer", F.lit("-")), "referrer", ["host"])
 
 
 def _method(rec: Record) -> Column:

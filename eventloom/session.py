@@ -28,6 +28,9 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        # Building a wide mapping makes many columns; noting the call site of each
+        # takes longer than the rest of the planning.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.shuffle.partitions": "8",
         **conf,
     }
