@@ -10,6 +10,7 @@ from eventloom.operators.convert import (
 from eventloom.operators.detect import (
     detect_port,
     first_quiet,
+    missing_artefacts,
     missing_formats,
     ports_seen,
     quiet_snapshots,
@@ -26,6 +27,7 @@ __all__ = [
     "documents",
     "fan_out",
     "first_quiet",
+    "missing_artefacts",
     "missing_formats",
     "ports_seen",
     "quiet_snapshots",

@@ -99,6 +99,23 @@ def missing_formats(
     return counts.select("cve_name", F.explode(gaps).alias("format"))
 
 
+# What a complete run leaves behind.
+ARTEFACTS = ("pcap", "zeek", "cim", "ecs", "ocsf")
+
+
+def missing_artefacts(files: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """(run, format) pairs a run should have left and has not.
+
+    ``files`` is a listing with ``cve_name``, ``format``, ``file_name``; Spark lists
+    no empty files, so what is there holds something. Of the sensor's logs the
+    connection log has to be among them, of the normalised formats any file.
+    """
+    there = (F.col("format") != "zeek") | (F.col("file_name") == "conn.log")
+    # Runs known from the listing alone count as well.
+    known = files.select("cve_name") if runs is None else runs.select("cve_name")
+    return missing_formats(files.filter(there), known, ARTEFACTS)
+
+
 def quiet_snapshots(
     snapshots: DataFrame,
     target: str,

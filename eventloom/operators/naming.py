@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from eventloom.constants import FORMAT_TABLES, TEXT_FORMAT
 
 _FORMATS = "|".join(FORMAT_TABLES)
-# <root>/<run>/<format>/<file>, or the same with "column=" in front of the names.
-_LAYOUT = f"/(?:cve_name=)?([^/]+)/(?:format=)?({_FORMATS})/[^/]+$"
+# <root>/<run>/<format>/<file>, or the same with "column=" in front of the names;
+# the capture itself has a folder too.
+_LAYOUT = f"/(?:cve_name=)?([^/]+)/(?:format=)?({_FORMATS}|pcap)/[^/]+$"
 
 
 def run_of_path(path: Column) -> Column:

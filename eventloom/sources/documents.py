@@ -91,7 +91,10 @@ def read_layout(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 
 def list_artefacts(spark: SparkSession, root: str) -> DataFrame:
-    """Files of a layout with run, format, log type and length; contents stay unread."""
+    """Files of a layout with run, format, log type and length; contents stay unread.
+
+    Spark leaves empty files out of every listing.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")

@@ -12,6 +12,7 @@ from eventloom.functions import cef_escape_extension, cef_escape_header, cef_lin
 from eventloom.operators import (
     detect_port,
     fan_out,
+    missing_artefacts,
     missing_formats,
     quiet_snapshots,
     runs_with_text,
@@ -102,6 +103,16 @@ def test_artefacts_and_gaps(spark, layout):
     assert gaps == {("CVE-1", "ocsf"), ("CVE-2", "cim"), ("CVE-2", "ecs"), ("CVE-2", "ocsf")}
 
 
+def test_complete_runs(spark, layout):
+    files = list_artefacts(spark, layout)
+    assert {(r.cve_name, r.format) for r in missing_artefacts(files).collect()} == {
+        ("CVE-1", "ocsf"), ("CVE-2", "pcap"), ("CVE-2", "cim"), ("CVE-2", "ecs"), ("CVE-2", "ocsf"),
+    }
+    runs = spark.createDataFrame([("CVE-1",), ("CVE-3",)], "cve_name string")
+    gaps = {(r.cve_name, r.format) for r in missing_artefacts(files, runs).collect()}
+    assert {f for run, f in gaps if run == "CVE-3"} == {"pcap", "zeek", "cim", "ecs", "ocsf"}
+
+
 def test_log_tables(spark, layout):
     spark.sql("CREATE DATABASE IF NOT EXISTS logs")
     create_log_tables(spark, "logs.")
@@ -210,6 +221,22 @@ def test_alert_once_per_run(spark, layout, tmp_path):
     assert [(r.cve_name, r.ts) for r in spark.read.parquet(str(tmp_path / "alerts")).collect()] == [("CVE-1", 1700000007.0)]
 
 
+def test_one_run_with_most_of_the_rows(spark):
+    """Answers stay whole when one run holds nearly everything."""
+    ids = spark.range(30000)
+    run = F.when(F.col("id") % 100 < 90, F.lit("hot")).otherwise(F.concat(F.lit("r"), F.col("id") % 7))
+    conn = ids.select(
+        run.alias("cve_name"), F.col("id").cast("double").alias("ts"),
+        (F.col("id") % 500).alias("id.orig_p"), F.lit(80).cast("bigint").alias("id.resp_p"),
+    )
+    got = {r.cve_name: r for r in detect_port(conn, 42).collect()}
+    assert got["hot"].connections == 60 and got["hot"].first_ts == 42.0
+    assert len(got) == 8 and not got["r1"].detected
+    rows = conn.select(F.lit("t").alias("target"), "ts", (F.floor(F.col("ts") / 2) % 2).cast("string").alias("log"))
+    quiet = quiet_snapshots(rows, "target", ["ts"], "log", F.floor(F.col("ts") / 1001))
+    assert quiet.count() == 15000 and quiet.filter("ts % 2 <> 1").count() == 0
+
+
 def test_quiet_snapshots_across_buckets(spark):
     rows = [("t", i, c) for i, c in enumerate("aabbbcacc")] + [("u", 0, "a"), ("u", 9, "a")]
     df = spark.createDataFrame(rows, "target string, seq int, log string")
