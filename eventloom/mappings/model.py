@@ -64,11 +64,12 @@ class Record:
 
 @dataclass(frozen=True)
 class Value:
-    """A leaf bound to a DataFrame: its typed value and, if it is of mixed type,
-    the stand-in for an absent one."""
+    """A leaf bound to a DataFrame: its typed value, if it is of mixed type the
+    stand-in for an absent one, and whether it is null in every record."""
 
     typed: Column
     stand_in: Column | None = None
+    never: bool = False
 
     def text(self) -> Column:
         if self.stand_in is None:
@@ -76,7 +77,10 @@ class Value:
         return F.coalesce(self.typed.cast("string"), self.stand_in.cast("string"))
 
     def entries(self, name: str) -> list[Column]:
-        """Struct entries to render: one, or two of which at most one is not null."""
+        """Struct entries to render: one, or two of which at most one is not null, or
+        none for a field that never has a value."""
+        if self.never:
+            return []
         found = self.typed.alias(name)
         return [found] if self.stand_in is None else [found, self.stand_in.alias(name)]
 
@@ -114,7 +118,7 @@ def constant(value: Literal) -> Rule:
 
 def omitted() -> Rule:
     """A field the target schema knows and no source fills."""
-    return lambda rec: Value(F.lit(None).cast("string"))
+    return lambda rec: Value(F.lit(None).cast("string"), never=True)
 
 
 def or_now(name: str) -> Rule:
