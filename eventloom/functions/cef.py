@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,12 +37,14 @@ def cef_line(
     header: Sequence[Column],
     extensions: Sequence[tuple[str, Column]],
     escape_newlines: bool = False,
+    numbers: Collection[str] = (),
 ) -> Column:
     """One CEF line from six header columns and (key, value) extensions.
 
     The header is vendor, product, version, event class id, name, severity; all
     but the severity are escaped. A null extension is left out, an empty string
-    is kept as ``key=``. A null header field makes the whole line null.
+    is kept as ``key=``. A null header field makes the whole line null. Extensions
+    named in ``numbers`` hold numbers and are not looked through for escapes.
     """
     *escaped, severity = header
     parts = [F.lit(CEF_PREFIX)]
@@ -52,8 +54,9 @@ def cef_line(
     if not extensions:
         return head
     # concat() of a null is null, and concat_ws() leaves nulls out.
-    pairs = [
-        F.concat(F.lit(key + "="), cef_escape_extension(value, escape_newlines))
-        for key, value in extensions
-    ]
+    pairs = []
+    for key, value in extensions:
+        plain = value.cast("string")
+        text = plain if key in numbers else cef_escape_extension(plain, escape_newlines)
+        pairs.append(F.concat(F.lit(key + "="), text))
     return F.concat(head, F.concat_ws(" ", *pairs))

@@ -142,7 +142,7 @@ OCSF = Mapping.of(
 
 _CEF_EXTENSIONS = Mapping.of(
     [
-        ("rt", computed(lambda r: epoch_millis(r.default("ts", F.lit(0.0))))),
+        ("rt", computed(lambda r: epoch_millis(r.default("ts", F.lit(0.0))), digits=True)),
         ("src", as_text("id.orig_h", "")),
         ("spt", as_text("id.orig_p", "")),
         ("dst", as_text("id.resp_h", "")),

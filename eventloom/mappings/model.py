@@ -65,11 +65,13 @@ class Record:
 @dataclass(frozen=True)
 class Value:
     """A leaf bound to a DataFrame: its typed value, if it is of mixed type the
-    stand-in for an absent one, and whether it is null in every record."""
+    stand-in for an absent one, whether it is null in every record, and whether
+    its text is a number, in which nothing needs escaping."""
 
     typed: Column
     stand_in: Column | None = None
     never: bool = False
+    digits: bool = False
 
     def text(self) -> Column:
         if self.stand_in is None:
@@ -107,9 +109,12 @@ def take(name: str, default: Literal | None = None) -> Rule:
 
 def as_text(name: str, default: str) -> Rule:
     """A source column as text, for CEF extensions."""
-    return lambda rec: Value(
-        rec.default(name, F.lit(default), rec.column(name).cast("string"))
-    )
+
+    def bind(rec: Record) -> Value:
+        text = rec.default(name, F.lit(default), rec.column(name).cast("string"))
+        return Value(text, digits=rec.types[name] in ("long", "integer"))
+
+    return bind
 
 
 def constant(value: Literal) -> Rule:
@@ -135,9 +140,9 @@ def total(*names: str) -> Rule:
     return lambda rec: Value(reduce(Column.__add__, (rec.default(n, F.lit(0)) for n in names)))
 
 
-def computed(build: Callable[[Record], Column]) -> Rule:
-    """Any expression over the record."""
-    return lambda rec: Value(build(rec))
+def computed(build: Callable[[Record], Column], digits: bool = False) -> Rule:
+    """Any expression over the record; ``digits`` tells that it is a whole number."""
+    return lambda rec: Value(build(rec), digits=digits)
 
 
 def bind_rule(rule: Rule, record: Record) -> Value:

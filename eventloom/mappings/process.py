@@ -113,7 +113,7 @@ OCSF = Mapping.of(
 
 _CEF_EXTENSIONS = Mapping.of(
     [
-        ("rt", computed(lambda r: epoch_millis(or_now("ts")(r).typed))),
+        ("rt", computed(lambda r: epoch_millis(or_now("ts")(r).typed), digits=True)),
         ("sproc", take("cmd_filename")),
         ("spid", take("PID")),
         ("dpid", take("PPID")),

@@ -49,8 +49,10 @@ class CefMapping:
             self.name(record),
             F.lit(self.severity),
         ]
-        pairs = [(path[-1], value.text()) for path, value in self.extensions.values(record)]
-        return cef_line(header, pairs, self.escape_newlines)
+        values = self.extensions.values(record)
+        pairs = [(path[-1], value.text()) for path, value in values]
+        numbers = {path[-1] for path, value in values if value.digits}
+        return cef_line(header, pairs, self.escape_newlines, numbers)
 
     # A CEF event is its line, whichever form is asked for.
     event = document
