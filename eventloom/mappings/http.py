@@ -31,8 +31,10 @@ from eventloom.mappings.shared import (
 
 
 def _url_columns(df: DataFrame) -> DataFrame:
-    """Parts of the request URL and of the referrer; "-" stands for an absent one."""
+    """Parts of the request URL and of the referrer, "-" standing for an absent one,
+    and the activity id, which two fields use."""
     record = Record(df)
+    df = df.withColumn("activity_id", http_activity_id(_method(record)))
     df = with_url_parts(df, record.default("uri", F.lit("-")), "uri")
     return with_url_parts(df, record.default("referrer", F.lit("-")), "referrer", ["host"])
 
@@ -104,7 +106,7 @@ ECS = Mapping.of(
 OCSF = Mapping.of(
     {
         "activity": take("method", "Unknown"),
-        "activity_id": computed(lambda r: http_activity_id(_method(r))),
+        "activity_id": take("activity_id"),
         "category_name": constant("Network Activity"),
         "category_uid": constant("4"),
         "class_name": constant("HTTP Activity"),
@@ -133,7 +135,7 @@ OCSF = Mapping.of(
         "src_endpoint": {"ip": take("id.orig_h", "-"), "port": take("id.orig_p", "-")},
         "start_time": or_now("ts"),
         "type_uid": computed(
-            lambda r: F.concat(F.lit("40020"), http_activity_id(_method(r)).cast("string"))
+            lambda r: F.concat(F.lit("40020"), r.column("activity_id").cast("string"))
         ),
         "type_name": computed(lambda r: F.concat(F.lit("HTTP Activity: "), _method(r))),
     },
