@@ -32,10 +32,17 @@ from eventloom.mappings.shared import (
 
 def _url_columns(df: DataFrame) -> DataFrame:
     """Parts of the request URL and of the referrer, "-" standing for an absent one,
-    and the activity id, which two fields use."""
+    and the values that several fields share."""
     record = Record(df)
-    df = df.withColumn("activity_id", http_activity_id(_method(record)))
-    df = with_url_parts(df, record.default("uri", F.lit("-")), "uri")
+    df = df.withColumns(
+        {
+            "activity_id": http_activity_id(_method(record)),
+            "uri_text": record.default("uri", F.lit("-")),
+            "source_text": record.default("id.orig_h", F.lit("-")),
+            "user_agent_text": record.default("user_agent", F.lit("-")),
+        }
+    )
+    df = with_url_parts(df, "uri_text", "uri")
     return with_url_parts(df, record.default("referrer", F.lit("-")), "referrer", ["host"])
 
 
@@ -61,18 +68,18 @@ CIM = Mapping.of(
         ("http_method", take("method", "-")),
         ("http_referrer", take("referrer", "-")),
         ("http_referrer_domain", take("referrer_host")),
-        ("http_user_agent", take("user_agent", "-")),
-        ("http_user_agent_length", computed(lambda r: F.length(r.default("user_agent", F.lit("-"))))),
+        ("http_user_agent", take("user_agent_text")),
+        ("http_user_agent_length", computed(lambda r: F.length("user_agent_text"))),
         ("host", take("host", "-")),
         ("response_time", omitted()),
         ("site", omitted()),
-        ("src", take("id.orig_h", "-")),
+        ("src", take("source_text")),
         ("status", take("status_code", "-")),
         ("uri_path", take("uri_path")),
         ("uri_query", take("uri_query")),
-        ("url", take("uri", "-")),
+        ("url", take("uri_text")),
         ("url_domain", take("uri_host")),
-        ("url_length", computed(lambda r: F.length(r.default("uri", F.lit("-"))))),
+        ("url_length", computed(lambda r: F.length("uri_text"))),
         ("user", omitted()),
         ("vendor_product", omitted()),
         ("error_code", omitted()),
@@ -94,8 +101,8 @@ ECS = Mapping.of(
         ("http.response.status_code", take("status_code", "-")),
         ("http.version", constant("1.1")),
         ("http.hostname", take("uri_host")),
-        ("user_agent.original", take("user_agent", "-")),
-        ("source.ip", take("id.orig_h", "-")),
+        ("user_agent.original", take("user_agent_text")),
+        ("source.ip", take("source_text")),
         ("destination.ip", take("id.resp_h", "-")),
         ("url.path", take("uri_path")),
         ("url.domain", take("uri_host")),
@@ -119,9 +126,9 @@ OCSF = Mapping.of(
                 "path": take("uri_path"),
                 "port": take("id.resp_p", "-"),
                 "scheme": constant("http"),
-                "text": take("uri", "-"),
+                "text": take("uri_text"),
             },
-            "user_agent": take("user_agent", "-"),
+            "user_agent": take("user_agent_text"),
             "version": constant("HTTP/1.1"),
         },
         "http_response": {"code": take("status_code", "-")},
@@ -132,7 +139,7 @@ OCSF = Mapping.of(
         },
         "severity": constant("Informational"),
         "severity_id": constant("1"),
-        "src_endpoint": {"ip": take("id.orig_h", "-"), "port": take("id.orig_p", "-")},
+        "src_endpoint": {"ip": take("source_text"), "port": take("id.orig_p", "-")},
         "start_time": or_now("ts"),
         "type_uid": computed(
             lambda r: F.concat(F.lit("40020"), r.column("activity_id").cast("string"))
