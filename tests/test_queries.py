@@ -7,6 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from eventloom.plans import ORACLE_SQL, QUERIES
 from tests.compare import connect, differences
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -20,13 +21,18 @@ def con():
 
 
 def test_every_query_has_a_check():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = contract.queries()[name](spark, SF_DIR)
-    assert differences(df, con, contract.oracle_sql()[name]) is None
+    df = QUERIES[name](spark, SF_DIR)
+    assert differences(df, con, ORACLE_SQL[name]) is None
+
+
+def test_contract_has_every_query():
+    assert QUERIES.items() <= contract.queries().items()
+    assert ORACLE_SQL.items() <= contract.oracle_sql().items()
 
 
 def test_entry(spark):
