@@ -66,25 +66,22 @@ def source_targets(sizes: DataFrame, most: int = MOST_REPEATS, weights: int = 3)
         [(F.col("room") / F.col("weight")).asc(), F.col("source").asc_nulls_last()],
         {"room_to": F.col("room"), "weight_to": F.col("weight")},
     )
-    whole = sizes.agg(F.sum("source_size").alias("size_all"))
-    weight_all = levels.agg(F.sum("weight").alias("weight_all"))
-    levels = levels.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(weight_all))  # 1 row each
+    levels = stored(levels, "levels")
+    whole, heavy = levels.agg(F.sum("source_size"), F.sum("weight")).first()
     # What is left for this source and all later ones.
-    left = F.col("size_all") - (F.col("room_to") - F.col("room"))
-    weight_left = F.col("weight_all") - (F.col("weight_to") - F.col("weight"))
-    levels = levels.withColumn("left", left).withColumn("weight_left", weight_left)
-    open_ = F.col("room") * F.col("weight_left") >= F.col("left") * F.col("weight")
-    level = levels.filter(open_).agg(
-        F.min_by(F.struct("left", "weight_left"), F.struct("weight_to")).alias("level")
-    )
-    share = (F.col("weight") * F.col("level.left")).cast("double") / F.col("level.weight_left")
-    return levels.crossJoin(F.broadcast(level)).select(
-        "source",
-        "source_size",
-        F.when(~open_ | F.col("level").isNull(), F.col("room").cast("double"))
-        .otherwise(share)
-        .alias("target"),
+    left = F.lit(whole) - (F.col("room_to") - F.col("room"))
+    weight_left = F.lit(heavy) - (F.col("weight_to") - F.col("weight"))
+    open_ = F.col("room") * weight_left >= left * F.col("weight")
+    level = (
+        levels.filter(open_)
+        .agg(F.min_by(F.struct(left.alias("left"), weight_left.alias("weight")), "weight_to"))
+        .first()[0]
     )
+    target = F.col("room").cast("double")
+    if level is not None:
+        share = (F.col("weight") * level["left"]).cast("double") / F.lit(float(level["weight"]))
+        target = F.when(open_, share).otherwise(target)
+    return levels.select("source", "source_size", target.alias("target"))
 
 
 def draw(key: Column, seed: int) -> Column:
