@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.llm.registry import query
 from eventloom.llm.text import BLANKS, ascii_lower, lines, read_table, stored
@@ -326,7 +327,7 @@ class LineIndex:
         )
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(T.ArrayType(T.StringType()))
 def _kept_lines(texts: pa.Array, dropped: pa.Array) -> pa.Array:
     """Lines whose key is not among the dropped ones; null stays null."""
     blanks = BLANKS.encode()
