@@ -1,6 +1,17 @@
 """All queries of this package."""
 
-from eventloom.llm import chat, mixing, quality  # noqa: F401
+from eventloom.llm import (  # noqa: F401
+    chat,
+    line_dedup,
+    main_text,
+    mixing,
+    neighbours,
+    ngram_join,
+    quality,
+    sentencepieces,
+    token_counts,
+    warc,
+)
 from eventloom.llm.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
