@@ -62,7 +62,7 @@ def spare_lists(n):
 def prefix_length(n):
     """A pair shares its first 1 + s shingles in prefixes that are s longer than needed:
     only n - T follow none that are shared."""
-    return np.minimum(n, n - least_overlap(n) + 1 + spare_lists(n))
+    return min(n, n - least_overlap(n) + 1 + spare_lists(n))
 
 
 def tolerated_lists(n):
@@ -279,8 +279,12 @@ def _candidates(everything: bool) -> Callable:
             _, at, other_at = met[-1]
             m = other_at >> 32
             most = len(met) + long_lists
-            if not everything:  # places behind the last common one may all be common
-                most += min(n - (at & 0xFFFFFFFF), m - (other_at & 0xFFFFFFFF)) - 1
+            if not everything:
+                # Behind the last common place all may be common; and the prefix of one
+                # of the two lies within the hashes of the other's, so that all that is
+                # common to it has been met.
+                behind = min(n - (at & 0xFFFFFFFF), m - (other_at & 0xFFFFFFFF)) - 1
+                most += min(behind, max(n - prefix_length(n), m - prefix_length(m)))
             if other != doc and most >= overlap_needed(m, n):
                 yield doc, other
 
