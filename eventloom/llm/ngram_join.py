@@ -411,13 +411,36 @@ def _place(at: str) -> Column:
 
 
 def _across(docs: DataFrame, shares: DataFrame, hidden: DataFrame, links: DataFrame):
-    """Links among documents that meet in long lists alone (``hidden``)."""
+    """Links among documents that meet in long lists alone (``hidden``).
+
+    Of these only such pairs are still unknown as share no shingle of a short list. Of
+    documents with the same long lists the one of fewest shingles stands for all: a
+    document that links with any of them has as much in common with that one and a
+    union that is no larger, so it links with it too; and so do the ones that stand for
+    two linked documents with each other. Documents are therefore compared with those
+    that stand for others, not with each other.
+    """
+    long_lists = shares.filter("partners IS NULL").join(hidden, "doc", "left_semi")
     # Enough lists for a pair to meet in one; nothing to spare.
     enough = _size("at") - F.ceil(_size("at") * PERCENT / 100) + 1
-    rows = shares.filter("partners IS NULL").filter(_place("at") < enough)
-    rows = rows.select("s", "doc", "at").distinct().join(hidden, "doc", "left_semi")
-    rows = stored(rows, "long-lists")
-    first = rows.groupBy("s").agg(F.min(F.struct("doc", "at")).alias("first"))
+    rows = stored(
+        long_lists.filter(_place("at") < enough).select("s", "doc", "at").distinct(), "long-lists"
+    )
+    held = long_lists.groupBy("doc").agg(
+        F.sort_array(F.collect_set("s")).alias("lists"), F.max(_size("at")).alias("n")
+    )
+    standing = held.groupBy(F.sha2(F.to_binary(F.array_join("lists", ","), F.lit("utf-8")), 256))
+    standing = stored(
+        standing.agg(F.min(F.struct("n", "doc")).alias("one")).select("one.doc"), "standing"
+    )
+    # First around two members of each list: the smallest, and one that differs from
+    # list to list. Large groups of near copies hang together by these.
+    member = F.struct(F.xxhash64("doc", "s").alias("draw"), "doc", "at")
+    first = rows.groupBy("s").agg(
+        F.array(F.min(F.struct(F.lit(0).cast("long").alias("draw"), "doc", "at")), F.min(member))
+        .alias("firsts")
+    )
+    first = first.select("s", F.explode("firsts").alias("first"))
     around = (
         rows.join(first, "s")
         .filter("doc <> first.doc")
@@ -435,13 +458,13 @@ def _across(docs: DataFrame, shares: DataFrame, hidden: DataFrame, links: DataFr
     placed = stored(
         placed.join(mixed.filter("low < high").select("s"), "s", "left_semi"), "mixed-lists"
     )
-    other = placed.select(
+    other = placed.join(standing, "doc", "left_semi").select(
         "s",
         F.col("doc").alias("partner"),
         F.col("at").alias("other"),
         F.col("part").alias("other_part"),
     )
-    apart = placed.join(other, "s").filter("part < other_part").filter(_may_match("at", "other"))
+    apart = placed.join(other, "s").filter("part <> other_part").filter(_may_match("at", "other"))
     return links.unionAll(verified(docs, apart.select("doc", "partner")))
 
 
