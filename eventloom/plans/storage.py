@@ -328,7 +328,7 @@ def json_arrays(spark, sf_dir):
     conn = adapters.zeek_conn(spark, sf_dir).withColumn("log_type", F.lit("network"))
     events = conversions.convert(conn, "network", "cim", ["cve_name", "log_type"], "document")
     write_json_array(events.withColumn("format", F.lit("cim")), root, most=1000)
-    rows = document_rows(spark.read.option("wholetext", "true").text(root))
+    rows = document_rows(spark.read.text(root, wholetext=True))
     return rows.groupBy("cve_name").agg(
         F.count("*").alias("events"),
         F.sum(F.variant_get("event", "$.bytes_out", "bigint")).alias("bytes_out"),

@@ -16,9 +16,8 @@ from eventloom.operators.naming import with_path_columns
 
 
 def _text(reader, path: str | list[str], **options: object) -> DataFrame:
-    for key, value in options.items():
-        reader = reader.option(key, value)
-    return reader.text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    # As arguments: the reader's own defaults for them override its options.
+    return reader.text(path, **options).select("value", F.col("_metadata.file_path").alias("path"))
 
 
 def document_rows(documents: DataFrame, text: str = "value") -> DataFrame:
@@ -74,7 +73,7 @@ def read_format(reader, root: str, format: str) -> DataFrame:
     elif format == "zeek":
         rows = json_line_rows(_text(reader, path))
     else:
-        rows = document_rows(_text(reader, path, wholetext="true"))
+        rows = document_rows(_text(reader, path, wholetext=True))
     return with_path_columns(rows, "path").drop("path")
 
 
@@ -106,4 +105,4 @@ def list_artefacts(spark: SparkSession, root: str) -> DataFrame:
 
 def read_manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Entries of manifest files, with ``path``; see :func:`read_entries`."""
-    return read_entries(_text(spark.read, path, wholetext="true"))
+    return read_entries(_text(spark.read, path, wholetext=True))

@@ -36,6 +36,7 @@ from eventloom.sources import (
     read_process_tables,
     read_runs,
 )
+from eventloom.sources.documents import read_format, read_manifest
 from eventloom.streaming import alert_once, monitor_layout, read_log_stream, route_batches
 from eventloom.operators.detect import port_match
 from tests.test_conversions import CONN, HTTP
@@ -158,7 +159,7 @@ def test_event_store_and_arrays(spark, layout, tmp_path):
     assert events.count() == 15
     arrays = str(tmp_path / "arrays")
     write_json_array(events.filter("format = 'cim'"), arrays, most=2)
-    documents = spark.read.option("wholetext", True).text(arrays)
+    documents = spark.read.text(arrays, wholetext=True)
     assert all(isinstance(json.loads(r.value), list) for r in documents.collect())
     assert document_rows(documents).count() == 3
 
@@ -258,3 +259,16 @@ def test_cef_escapes(spark):
     assert value(cef_line(header, [])) == "CEF:0|Ven\\|dor|Pro\\\\duct|1.0|100|Test|5|"
     extensions = [("src", F.lit("10.0.0.1")), ("none", F.lit(None).cast("string")), ("kept", F.lit(""))]
     assert value(cef_line(header, extensions)).endswith("|5|src=10.0.0.1 kept=")
+
+
+def test_documents_and_manifests_over_several_lines(spark, tmp_path):
+    folder = tmp_path / "layout" / "CVE-1" / "ecs"
+    folder.mkdir(parents=True)
+    (folder / "a.json").write_text('[\n  {"n": 1},\n  {"n": 2}\n]\n')
+    (folder / "b.json").write_text('{\n  "n": 3\n}\n')
+    events = read_format(spark.read, str(tmp_path / "layout"), "ecs")
+    found = events.select(F.variant_get("event", "$.n", "int")).collect()
+    assert sorted(r[0] for r in found) == [1, 2, 3]
+    manifest = tmp_path / "runs.json"
+    manifest.write_text('[\n  {\n    "name": "one"\n  },\n  {\n    "name": "two"\n  }\n]\n')
+    assert read_manifest(spark, str(manifest)).count() == 2
