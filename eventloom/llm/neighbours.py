@@ -32,8 +32,8 @@ def neighbour_graph(vectors: np.ndarray, degree: int = 10) -> np.ndarray:
     squares = (vectors**2).sum(1)
     degree = min(degree, len(vectors) - 1)
     found = []
-    for start in range(0, len(vectors), 1024):
-        block = vectors[start : start + 1024]
+    for start in range(0, len(vectors), 256):
+        block = vectors[start : start + 256]
         distance = squares[None, :] - 2 * block @ vectors.T
         distance[np.arange(len(block)), np.arange(start, start + len(block))] = np.inf
         found.append(np.argpartition(distance, degree - 1, axis=1)[:, :degree])
