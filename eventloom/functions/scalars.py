@@ -42,8 +42,9 @@ def http_activity_id(method: Column) -> Column:
 
 
 def epoch_millis(seconds: Column) -> Column:
-    """Epoch seconds to whole milliseconds, cut off rather than rounded."""
-    return (seconds * 1000).cast("bigint")
+    """Epoch seconds to whole milliseconds, cut off rather than rounded; null for
+    what is no time a bigint can hold."""
+    return (seconds * 1000).try_cast("bigint")
 
 
 def _integer_text() -> str:

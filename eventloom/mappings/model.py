@@ -136,8 +136,8 @@ def or_now(name: str) -> Rule:
 
 
 def total(*names: str) -> Rule:
-    """Sum of counters that are 0 when absent."""
-    return lambda rec: Value(reduce(Column.__add__, (rec.default(n, F.lit(0)) for n in names)))
+    """Sum of counters that are 0 when absent; null when no bigint holds it."""
+    return lambda rec: Value(reduce(F.try_add, (rec.default(n, F.lit(0)) for n in names)))
 
 
 def computed(build: Callable[[Record], Column], digits: bool = False) -> Rule:

@@ -91,8 +91,11 @@ def text_documents(df: DataFrame) -> DataFrame:
     """Documents as JSON text for events that are JSON text or, for CEF, lines.
 
     Columns ``cve_name``, ``log_type``, ``format``, ``event``. The tags are put in
-    front of the event's own fields, less those the event has itself.
+    front of the event's own fields, less those the event has itself. Events of the
+    loader, which are VARIANT, are rendered first.
     """
+    if df.schema["event"].dataType.typeName() == "variant":
+        df = df.withColumn("event", F.to_json("event"))
     tag = F.to_json(F.struct("cve_name", "log_type"))
     # The top-level keys decide whether a tag is overridden; almost never.
     keys = F.json_object_keys("event")

@@ -214,7 +214,8 @@ def resolve_runs(entries: DataFrame) -> DataFrame:
     """The run table: one row per entry with every setting in place.
 
     Meant for valid entries. Integers given as text are converted, absent settings
-    get their defaults, ``manual`` tells runs without an exploit, ``target_kind``
+    get their defaults (an integer beyond 64 bits is null, never the default),
+    ``manual`` tells runs without an exploit, ``target_kind``
     is ``compose`` or ``docker``, and ``options`` is the option string as a map.
     """
 
@@ -236,7 +237,9 @@ def resolve_runs(entries: DataFrame) -> DataFrame:
         text("exploit_success_pattern", DEFAULT_PATTERN).alias("exploit_success_pattern"),
         text("exploit_mode", DEFAULT_MODE).alias("exploit_mode"),
         *(
-            F.coalesce(to_integer(_value(key), _type(key)), F.lit(default)).cast("bigint").alias(key)
+            F.when(_type(key) == "", F.lit(default).cast("bigint"))
+            .otherwise(to_integer(_value(key), _type(key)))
+            .alias(key)
             for key, default in INTEGER_DEFAULTS.items()
         ),
         (text("exploit", "") == "").alias("manual"),

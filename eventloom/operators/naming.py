@@ -13,9 +13,24 @@ _FORMATS = "|".join(FORMAT_TABLES)
 _LAYOUT = f"/(?:cve_name=)?([^/]+)/(?:format=)?({_FORMATS}|pcap)/[^/]+$"
 
 
+def _unescaped(text: Column) -> Column:
+    """Text with its percent escapes undone; a plus sign is one."""
+    plain = F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+    return F.when(text.contains("%"), F.coalesce(plain, text)).otherwise(text)
+
+
+def file_path() -> Column:
+    """Path of the file a row was read from, as it is called in the file system."""
+    return _unescaped(F.col("_metadata.file_path"))
+
+
 def run_of_path(path: Column) -> Column:
-    """Run name from a log path; null when the path has another layout."""
-    return F.nullif(F.regexp_extract(path, _LAYOUT, 1), F.lit(""))
+    """Run name from a log path; null when the path has another layout.
+
+    Spark escapes some characters of a value in the name of a partition folder.
+    """
+    name = F.nullif(F.regexp_extract(path, _LAYOUT, 1), F.lit(""))
+    return F.when(path.contains("/cve_name="), _unescaped(name)).otherwise(name)
 
 
 def format_of_path(path: Column) -> Column:

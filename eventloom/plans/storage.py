@@ -31,7 +31,7 @@ from eventloom.sources.documents import (
 )
 from eventloom.sources.logs import good_records, parse_lines, quarantine, read_log
 from eventloom.sources.process import process_rows
-from eventloom.streaming.jobs import alert_once, read_log_stream, route_batches
+from eventloom.streaming.jobs import alert_once, read_alerts, read_log_stream, route_batches
 
 LOG_COLUMNS = (
     "ts",
@@ -371,8 +371,8 @@ def json_lines(spark, sf_dir):
 
 
 def _stream_all_formats(spark, sf_dir, purpose):
-    stream = read_log_stream(spark, _log_folder(spark, sf_dir), "network", "part-*.txt")
-    stream = with_path_columns(stream, "source_path").drop("format")
+    log = read_log_stream(spark, _log_folder(spark, sf_dir), "network", "part-*.txt")
+    stream = with_path_columns(good_records(log), "source_path").drop("format")
     events = fan_out(stream, "network", ["cve_name", "uid"])
     target, checkpoint = work_folder(spark, purpose), work_folder(spark, "checkpoint")
     route_batches(events, target, checkpoint).awaitTermination()
@@ -408,21 +408,22 @@ def stream_routing(spark, sf_dir):
 
 @query(
     "t02_stream_alerts",
-    f"""WITH {CONN_CTE} SELECT DISTINCT cve_name FROM conn
-        WHERE coalesce("id.resp_p" = 4444, false) OR coalesce("id.orig_p" = 4444, false)""",
+    f"""WITH {CONN_CTE} SELECT cve_name, min(ts) AS ts FROM conn
+        WHERE coalesce("id.resp_p" = 4444, false) OR coalesce("id.orig_p" = 4444, false) GROUP BY 1""",
 )
 def stream_alerts(spark, sf_dir):
-    """One alert per run with a connection on port 4444, from a file stream."""
-    stream = read_log_stream(spark, _log_folder(spark, sf_dir), "network", "part-*.txt")
-    stream = with_path_columns(stream, "source_path")
-    alerts = alert_once(stream, port_match(4444), F.col("uid"), delay="60 days")
+    """One alert per run with a connection on port 4444, from a file stream.
+
+    Even records come first and odd ones in a second batch, older or not.
+    """
+    root = work_folder(spark, "alert-logs")
     target, checkpoint = work_folder(spark, "alerts"), work_folder(spark, "checkpoint")
-    (
-        alerts.writeStream.format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    return spark.read.parquet(target).select("cve_name")
+    conn = adapters.zeek_conn(spark, sf_dir).withColumn("value", _lines(None))
+    for rest in (0, 1):
+        part = conn.filter(F.pmod("event_id", F.lit(2)) == rest)
+        lines = part.select("cve_name", F.lit("zeek").alias("format"), "value")
+        lines.write.mode("append").partitionBy("cve_name", "format").text(root)
+        log = read_log_stream(spark, root, "network", "part-*.txt")
+        stream = with_path_columns(good_records(log), "source_path")
+        alert_once(stream, port_match(4444), target, checkpoint).awaitTermination()
+    return read_alerts(spark, target)

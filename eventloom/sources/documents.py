@@ -10,14 +10,14 @@ from eventloom.constants import FORMAT_TABLES, TEXT_FORMAT
 from eventloom.functions.jsontext import document_events
 from eventloom.functions.scalars import strip
 from eventloom.operators.manifest import read_entries
-from eventloom.operators.naming import with_path_columns
+from eventloom.operators.naming import file_path, with_path_columns
 
 # Readers take a batch session's `read` or a stream's `readStream` alike.
 
 
 def _text(reader, path: str | list[str], **options: object) -> DataFrame:
     # As arguments: the reader's own defaults for them override its options.
-    return reader.text(path, **options).select("value", F.col("_metadata.file_path").alias("path"))
+    return reader.text(path, **options).select("value", file_path().alias("path"))
 
 
 def document_rows(documents: DataFrame, text: str = "value") -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from eventloom.operators.naming import with_path_columns
+from eventloom.functions.scalars import strip
+from eventloom.operators.naming import file_path, with_path_columns
 from eventloom.schemas import CORRUPT, NULL_KEYS, ZEEK_CONN, ZEEK_HTTP, quoted
 
 LOG_SCHEMAS = {"http": ZEEK_HTTP, "network": ZEEK_CONN}
@@ -17,10 +18,10 @@ LOG_FILES = {"http": "http.log", "network": "conn.log"}
 SOURCE_PATH = "source_path"
 
 
-def _reader(spark: SparkSession, file_name: str | None):
-    reader = spark.read.option("recursiveFileLookup", "true")
+def by_name(reader, file_name: str):
+    """A reader, batch or stream, of all files of a name below its root."""
     # A pattern on the file name leaves the other logs unlisted and unread.
-    return reader.option("pathGlobFilter", file_name) if file_name else reader
+    return reader.option("recursiveFileLookup", "true").option("pathGlobFilter", file_name)
 
 
 def read_log(
@@ -33,26 +34,46 @@ def read_log(
     """Records of one log family from every matching file below ``root``.
 
     Files are matched by exact name (or glob). A broken line gives a row with its
-    text in ``_corrupt_record``; with ``strict`` it fails the job. ``source_path``
-    tells the file. Run and format columns come from
+    text in ``_corrupt_record``; with ``strict`` it fails the job, and so does a value
+    of another type. ``source_path`` tells the file. Run and format columns come from
     :func:`eventloom.operators.with_path_columns`.
     """
-    schema = LOG_SCHEMAS[family]
     name = LOG_FILES[family] if file_name is None else file_name
-    reader = _reader(spark, name)
     if strict:
-        df = reader.option("mode", "FAILFAST").schema(schema).json(root)
-    else:
-        df = (
-            reader.option("columnNameOfCorruptRecord", CORRUPT)
-            .schema(f"{schema}, {CORRUPT} STRING")
-            .json(root)
-        )
-        # Spark does not read a log for its broken lines alone; a field that goes
-        # with them is enough.
-        broken = F.when(F.length("uid") < 0, "").otherwise(F.col(CORRUPT))
-        df = df.withColumn(CORRUPT, broken)
-    return df.withColumn(SOURCE_PATH, F.col("_metadata.file_path"))
+        reader = by_name(spark.read, name).option("mode", "FAILFAST")
+        df = reader.schema(LOG_SCHEMAS[family]).json(root)
+        return df.withColumn(SOURCE_PATH, file_path())
+    return log_records(by_name(spark.read, name).text(root), family)
+
+
+def log_records(lines: DataFrame, family: str) -> DataFrame:
+    """Typed records out of the lines of a text source, batch or stream.
+
+    A line is good when it is a JSON object, whatever columns are asked for later. A
+    value of another type is converted where that is possible, with fractions of whole
+    numbers cut off, and null otherwise. Of a repeated key the last value counts. The
+    text of any other line is in ``_corrupt_record``; blank lines give no row.
+    """
+    schema = LOG_SCHEMAS[family]
+    lines = lines.select("value", file_path().alias(SOURCE_PATH)).filter(
+        F.length(strip(F.col("value"))) > 0
+    )
+    parsed = lines.withColumn("_record", F.try_parse_json("value"))
+    # VARIANT refuses repeated keys and numbers such as NaN.
+    options = {"columnNameOfCorruptRecord": CORRUPT}
+    again = F.from_json("value", f"{schema}, {CORRUPT} STRING", options)
+    parsed = parsed.withColumn("_again", F.when(F.col("_record").isNull(), again))
+    read_again = F.col("_again").isNotNull() & F.col("_again").getField(CORRUPT).isNull()
+    good = strip(F.col("value")).startswith("{") & (F.col("_record").isNotNull() | read_again)
+    typed = [
+        F.coalesce(
+            F.try_variant_get("_record", f"$['{f.name}']", f.dataType.simpleString()),
+            F.col("_again").getField(f.name),
+        ).alias(f.name)
+        for f in StructType.fromDDL(schema).fields
+    ]
+    broken = F.when(~good, F.col("value"))
+    return parsed.select(*typed, broken.alias(CORRUPT), SOURCE_PATH)
 
 
 def good_records(log: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.operators.naming import file_of_path, file_path, log_type, snapshot_time
 from eventloom.schemas import PROCESS_TABLE, PROCESS_TITLES
 
 
@@ -29,6 +30,10 @@ def process_rows(tables: DataFrame) -> DataFrame:
 
 
 def read_process_tables(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Process rows of snapshot documents (JSON lines), with their ``path``."""
-    tables = spark.read.schema(PROCESS_TABLE).json(path)
-    return process_rows(tables.withColumn("path", F.col("_metadata.file_path")))
+    """Process rows of snapshot documents (JSON lines), with their ``path``.
+
+    ``ts`` is the time in the name of a file ``process_<epoch seconds>.…``, else null.
+    """
+    tables = spark.read.schema(PROCESS_TABLE).json(path).withColumn("path", file_path())
+    taken = snapshot_time(log_type(file_of_path(F.col("path"))))
+    return process_rows(tables.withColumn("ts", taken))

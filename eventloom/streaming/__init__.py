@@ -3,8 +3,9 @@
 from eventloom.streaming.jobs import (
     alert_once,
     monitor_layout,
+    read_alerts,
     read_log_stream,
     route_batches,
 )
 
-__all__ = ["alert_once", "monitor_layout", "read_log_stream", "route_batches"]
+__all__ = ["alert_once", "monitor_layout", "read_alerts", "read_log_stream", "route_batches"]

@@ -7,29 +7,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from eventloom.constants import FORMAT_TABLES
 from eventloom.sources.documents import read_format
-from eventloom.sources.logs import LOG_FILES, LOG_SCHEMAS, SOURCE_PATH
-
-# Spreads the first round of deduplication of one run over this many tasks.
-ALERT_SALTS = 64
+from eventloom.sources.logs import LOG_FILES, by_name, log_records
 
 
 def read_log_stream(
     spark: SparkSession, root: str, family: str, file_name: str | None = None
 ) -> DataFrame:
-    """New files of a log family below ``root``, as they appear."""
-    stream = (
-        spark.readStream.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", LOG_FILES[family] if file_name is None else file_name)
-        .schema(LOG_SCHEMAS[family])
-        .json(root)
-    )
-    return stream.withColumn(SOURCE_PATH, F.col("_metadata.file_path"))
+    """New files of a log family below ``root``, as they appear.
+
+    The rows are those of :func:`eventloom.sources.read_log`: ``good_records`` and
+    ``quarantine`` tell them apart here too.
+    """
+    name = LOG_FILES[family] if file_name is None else file_name
+    return log_records(by_name(spark.readStream, name).text(root), family)
 
 
 def monitor_layout(
@@ -75,27 +72,52 @@ def route_batches(events: DataFrame, target: str, checkpoint: str) -> StreamingQ
     )
 
 
-def alert_once(
-    records: DataFrame, condition: Column, spread: Column, delay: str = "1 day"
-) -> DataFrame:
-    """The first matching record of each run, as a stream.
+_ALERTS = "cve_name STRING, ts DOUBLE, corrects BOOLEAN, batch_id LONG"
+
 
-    Needs ``cve_name`` and ``ts`` (epoch seconds). A run raises one alert; after
-    the event time has moved on by ``delay`` its state is dropped and it may
-    alert again. ``spread`` is a column of many values, such as a record id: a
-    run with very many matches is thinned out over many tasks first, and only the
-    survivors meet in one.
+def alert_once(
+    records: DataFrame, condition: Column, target: str, checkpoint: str
+) -> StreamingQuery:
+    """Keep an alert table with the earliest matching record of each run.
+
+    Needs ``cve_name`` and ``ts`` (epoch seconds). What a batch adds is written to
+    ``target/batch_id=N``: a row for each run that has raised no alert before, however
+    old its records are, and one that ``corrects`` it if an earlier record comes later.
+    A batch that runs again replaces its own rows. :func:`read_alerts` gives one row a
+    run. Matches are combined by run before they are shuffled.
     """
-    matches = records.filter(condition).withColumns(
-        {
-            "ts_timestamp": F.timestamp_micros((F.col("ts") * 1000000).cast("bigint")),
-            "_salt": F.pmod(F.xxhash64(spread), F.lit(ALERT_SALTS)),
-        }
-    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        found = batch.filter(condition).groupBy("cve_name").agg(F.min("ts").alias("ts"))
+        try:
+            earlier = spark.read.schema(_ALERTS).parquet(target)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            earlier = spark.createDataFrame([], _ALERTS)
+        known = (
+            earlier.filter(F.col("batch_id") < batch_id)
+            .groupBy("cve_name")
+            .agg(F.min("ts").alias("known_ts"), F.lit(True).alias("corrects"))
+        )
+        same_run = found["cve_name"].eqNullSafe(known["cve_name"])
+        new = found.join(known, same_run, "left").filter(
+            F.col("corrects").isNull() | F.coalesce(F.col("ts") < F.col("known_ts"), F.lit(False))
+        )
+        new.select(
+            found["cve_name"], "ts", F.coalesce("corrects", F.lit(False)).alias("corrects")
+        ).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
     return (
-        matches.select("cve_name", "ts", "ts_timestamp", "_salt")
-        .withWatermark("ts_timestamp", delay)
-        .dropDuplicatesWithinWatermark(["cve_name", "_salt"])
-        .drop("_salt")
-        .dropDuplicatesWithinWatermark(["cve_name"])
+        records.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
+
+
+def read_alerts(spark: SparkSession, target: str) -> DataFrame:
+    """``cve_name`` and the earliest ``ts`` of every run that raised an alert."""
+    alerts = spark.read.schema(_ALERTS).parquet(target)
+    return alerts.groupBy("cve_name").agg(F.min("ts").alias("ts"))

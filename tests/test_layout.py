@@ -37,7 +37,13 @@ from eventloom.sources import (
     read_runs,
 )
 from eventloom.sources.documents import read_format, read_manifest
-from eventloom.streaming import alert_once, monitor_layout, read_log_stream, route_batches
+from eventloom.streaming import (
+    alert_once,
+    monitor_layout,
+    read_alerts,
+    read_log_stream,
+    route_batches,
+)
 from eventloom.operators.detect import port_match
 from tests.test_conversions import CONN, HTTP
 
@@ -182,12 +188,17 @@ def test_process_tables(spark, tmp_path):
     path.write_text("\n".join(map(json.dumps, tables)))
     rows = [(r.USER, r.PID, r.COMMAND, r.TT) for r in read_process_tables(spark, str(path)).collect()]
     assert rows == [("b", "1", "x y", None), ("c", "2", None, None)]
+    snapshot = tmp_path / "process_1700000000.25.json"
+    snapshot.write_text(json.dumps(tables[0]))
+    rows = read_process_tables(spark, str(snapshot))
+    events = fan_out(rows, "process", formats=["cim"]).collect()
+    assert [json.loads(r.event)["timestamp"] for r in events] == [1700000000.25] * 2
 
 
 def test_stream_equals_batch(spark, layout, tmp_path):
-    stream = with_path_columns(read_log_stream(spark, layout, "network"), "source_path").drop("format", "log_family")
-    # A broken line is a row of nulls here; batch and stream read the same way.
-    events = fan_out(stream.filter("uid IS NOT NULL"), "network", ["cve_name", "log_type"], now=1.0)
+    log = read_log_stream(spark, layout, "network")
+    stream = with_path_columns(good_records(log), "source_path").drop("format", "log_family")
+    events = fan_out(stream, "network", ["cve_name", "log_type"], now=1.0)
     target = str(tmp_path / "routed")
     route_batches(events, target, str(tmp_path / "state")).awaitTermination()
     got = sorted((r.cve_name, r.format, r.event) for r in spark.read.parquet(target).collect())
@@ -212,14 +223,49 @@ def test_monitor_sees_new_files_once(spark, layout, tmp_path):
 
 
 def test_alert_once_per_run(spark, layout, tmp_path):
-    stream = with_path_columns(read_log_stream(spark, layout, "network"), "source_path")
-    alerts = alert_once(stream, port_match(4444), F.col("uid"))
-    query = (
-        alerts.writeStream.format("parquet").option("path", str(tmp_path / "alerts"))
-        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    assert [(r.cve_name, r.ts) for r in spark.read.parquet(str(tmp_path / "alerts")).collect()] == [("CVE-1", 1700000007.0)]
+    target = str(tmp_path / "alerts")
+
+    def alerts():
+        stream = with_path_columns(good_records(read_log_stream(spark, layout, "network")), "source_path")
+        alert_once(stream, port_match(4444), target, str(tmp_path / "cp")).awaitTermination()
+        return sorted((r.cve_name, r.ts) for r in read_alerts(spark, target).collect())
+
+    assert alerts() == [("CVE-1", 1700000007.0)]
+    # Runs that are years older alert as well, and an earlier record corrects.
+    for run, folder, ts in (
+        ("CVE-3", "zeek", 1500000000.0), ("CVE-1", "pcap", 1600000000.0), ("CVE-3", "pcap", 1800000000.0)
+    ):
+        late = tmp_path / "data" / run / folder
+        late.mkdir(parents=True, exist_ok=True)
+        (late / "conn.log").write_text(json.dumps(CONN | {"id.resp_p": 4444, "ts": ts}) + "\n")
+        alerts()
+    assert alerts() == [("CVE-1", 1600000000.0), ("CVE-3", 1500000000.0)]
+
+
+def test_records_of_other_types_are_kept(spark, tmp_path):
+    folder = tmp_path / "a b+%" / "zeek"
+    folder.mkdir(parents=True)
+    lines = [
+        '{"uid": "1", "id.resp_p": "443", "orig_bytes": 10}',
+        '{"uid": "2", "id.resp_p": 443, "orig_bytes": 1.5}',
+        '{"uid": "3", "id.resp_p": 80, "id.resp_p": 443, "ts": 1.0}',
+        '{"uid": "4", "id.resp_p": 443, "ts": 1e17, "orig_bytes": 9223372036854775807, "resp_bytes": 1}',
+        '{"uid": "5", "id.resp_p": [443]}',
+        "[1]", "7", "#comment", '{"uid": "6", "id.re', "  ",
+    ]
+    (folder / "conn.log").write_text("\n".join(lines))
+    log = read_log(spark, str(tmp_path), "network")
+    good = read_runs(spark, str(tmp_path), "network")
+    assert good.count() == good.select("uid").count() == len(good.collect()) == 5
+    assert quarantine(log).count() == 4 and log.count() == 9
+    found = {r.uid: (r["id.resp_p"], r.orig_bytes) for r in good.collect()}
+    assert found == {
+        "1": (443, 10), "2": (443, 1), "3": (443, None), "4": (443, 9223372036854775807), "5": (None, None),
+    }
+    assert {r.cve_name for r in good.collect()} == {"a b+%"}
+    assert detect_port(good, 443).first().connections == 4
+    events = fan_out(good.drop("format", "log_family"), "network", ["uid"])
+    assert len(events.collect()) == 25
 
 
 def test_one_run_with_most_of_the_rows(spark):
