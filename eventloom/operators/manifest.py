@@ -187,6 +187,10 @@ def _rules(strict: bool) -> list[tuple[str, Column, Column]]:
             number = _type(key).rlike("^(BIGINT|DECIMAL.*|DOUBLE)$")
             below = F.coalesce(to_integer(_value(key), _type(key)) < 0, F.lit(False))
             check("V16", number & below, f"'{key}' must not be negative.")
+            value = F.try_variant_get(_value(key), "$", "double")
+            fraction = number & F.coalesce(value != F.rint(value), F.lit(False))
+            odd = fraction | (_type(key) == "BOOLEAN")
+            check("V16", odd, f"'{key}' must be an integer or a string.")
     return rules
 
 

@@ -118,3 +118,19 @@ def test_defaults_and_conversion(spark, tmp_path):
 )
 def test_option_map(spark, text, want):
     assert spark.range(1).select(option_map(F.lit(text)).alias("m")).first().m == want
+
+
+def test_strict_types_of_integers(spark):
+    entry = docker(target_delay=5.9, ready_delay=True, ready_retries=3.0, exploit_retries="12", exploit_check_count=1e300)
+    text = "must be an integer or a string."
+    assert errors(spark, [entry]) == []
+    found = errors(spark, [entry], strict=True)
+    assert [rule for rule, _ in found] == ["V16", "V16"]
+    assert all(message.endswith(text) for _, message in found)
+    assert "'target_delay'" in found[0][1] and "'ready_delay'" in found[1][1]
+
+
+def test_integer_beyond_64_bits_is_not_the_default(spark):
+    document = json.dumps([docker(exploit_retries="99999999999999999999", ready_delay=10**20, ready_retries=9)])
+    run = resolve_runs(read_entries(spark.createDataFrame([(document,)], "value string"))).first()
+    assert (run.exploit_retries, run.ready_delay, run.ready_retries, run.target_delay) == (None, None, 9, 0)
