@@ -59,6 +59,8 @@ _EXPECTED = [
     ),
 ]
 _STRICT = [
+    (16, 1, "V16", _NAMED + "''exploit_retries'' must be an integer or a string."),
+    (16, 1, "V16", _NAMED + "''exploit_check_delay'' must be an integer or a string."),
     (16, 1, "V16", _NAMED + "''ready_delay'' must not be negative."),
     (20, 1, "V16", _NAMED + "unknown fields: extra."),
 ]
