@@ -9,7 +9,8 @@ pieces' bytes and turns the whitespace marker back into a blank.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -22,6 +23,10 @@ from eventloom.llm.text import read_table
 from eventloom.llm.unigram import BYTE, CONTROL, MARKER, MODEL_PATH, Segments, Vocabulary
 from eventloom.llm.unigram import read_vocabulary
 
+# Words of at most so many bytes are solved so many at a time.
+SHORT_WORD = 48
+TOGETHER = 8192
+
 
 class DoubleArray:
     """A trie over bytes in two arrays: the child of node ``s`` by byte ``b`` is
@@ -76,7 +81,10 @@ class Codec:
         self.unknown = vocabulary.unknown_id
         self.bytes = vocabulary.byte_ids if vocabulary.byte_fallback else None
         self.dummy_prefix = vocabulary.dummy_prefix
-        self.segments = Segments(vocabulary, self.solve)
+        self.segments = Segments(vocabulary, self.solve_all)
+        self.arrays = tuple(np.array(a, np.int32) for a in (trie.base, trie.check, trie.value))
+        self.scores = np.array([score for _, score in self.usable])
+        self.numbers = np.array([number for number, _ in self.usable], np.int32)
         blank = MARKER.encode()
         self.texts = [
             bytes([int(piece[3:5], 16)]) if kind == BYTE
@@ -128,18 +136,118 @@ class Codec:
             end = start
         return tuple(reversed(ids))
 
+    def solve_all(self, words: list[str]) -> Iterator[tuple[int, ...]]:
+        """As :meth:`solve` for each word, many short words at a time."""
+        data = [word.encode("utf-8", "surrogatepass") for word in words]
+        for at in range(0, len(words), TOGETHER):
+            part = data[at : at + TOGETHER]
+            short = [k for k, word in enumerate(part) if len(word) <= SHORT_WORD]
+            found = dict(zip(short, self._solve_short([part[k] for k in short])))
+            for k in range(len(part)):
+                yield found.get(k) or self.solve(words[at + k])
+
+    def _solve_short(self, words: list[bytes]) -> Iterator[tuple[int, ...] | None]:
+        """The same steps as in :meth:`solve`, each for all words that take it; None for
+        a word in whose path a character has no piece."""
+        if not words:
+            return
+        base, check, value = self.arrays
+        sizes = np.array([len(word) for word in words])
+        longest = int(sizes.max())
+        data = np.zeros((len(words), longest), np.int32)
+        filled = np.arange(longest) < sizes[:, None]
+        data[filled] = np.frombuffer(b"".join(words), np.uint8)
+        best = np.full((len(words), longest + 1), -np.inf)
+        best[:, 0] = 0.0
+        came = np.zeros((len(words), longest + 1), np.int32)
+        chosen = np.full((len(words), longest + 1), -1, np.int32)
+        for start in range(longest):
+            begins = filled[:, start] & ((data[:, start] & 0xC0) != 0x80)
+            rows = np.flatnonzero(begins)
+            lead = data[rows, start]
+            width = 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+            whole = np.zeros(len(words), bool)
+            going, ahead, node = rows, width, np.zeros(len(rows), np.int32)
+            for end in range(start, longest):
+                within = sizes[going] > end
+                going, ahead, node = going[within], ahead[within], node[within]
+                child = base[node] + data[going, end] + 1
+                fits = child < len(check)
+                fits[fits] = check[child[fits]] == node[fits]
+                going, ahead, node = going[fits], ahead[fits], child[fits]
+                if not len(going):
+                    break
+                key = value[node]
+                ends = key >= 0
+                hit, key = going[ends], key[ends]
+                scores = best[hit, start] + self.scores[key]
+                better = scores > best[hit, end + 1]
+                hit, key = hit[better], key[better]
+                best[hit, end + 1] = scores[better]
+                came[hit, end + 1] = start
+                chosen[hit, end + 1] = self.numbers[key]
+                whole[going[ends & (ahead == end + 1 - start)]] = True
+            single = ~whole[rows]
+            rows, ends = rows[single], start + width[single]
+            scores = best[rows, start] + self.unknown_score
+            better = scores > best[rows, ends]
+            rows, ends = rows[better], ends[better]
+            best[rows, ends] = scores[better]
+            came[rows, ends] = start
+            chosen[rows, ends] = -1
+        at, every, steps = sizes.copy(), np.arange(len(words)), []
+        while at.any():
+            steps.append(np.where(at > 0, chosen[every, at], -2))
+            at = came[every, at]
+        for row in np.stack(steps[::-1], 1).tolist():
+            yield None if -1 in row else tuple(number for number in row if number != -2)
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
+        for answers in self.segments.answers(texts):
+            yield list(chain.from_iterable(answers))
+
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(self.segments.answers(text)))
+        return next(self.encode_all([text]))
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join([self.texts[number] for number in ids]).decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
+_CODECS: dict[str, Codec] = {}
+
+
+def _codec(key: str, vocabulary: Vocabulary, trie: DoubleArray) -> Codec:
+    """The worker's codec, which serves all its tasks; the last vocabulary's is kept."""
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(vocabulary, trie)
+    return _CODECS[key]
+
+
 def _codecs(vocabulary: Vocabulary):
-    """Makes the codec in the worker, out of the vocabulary and the trie built here."""
+    """Gives the codec in the worker, out of the vocabulary and the trie built here."""
     trie = DoubleArray([piece.encode() for piece, _, _ in vocabulary.usable()])
-    return lambda: Codec(vocabulary, trie)
+    return partial(_codec, vocabulary.key, vocabulary, trie)
+
+
+def _encoded(codec: Codec, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text's ids begin and end, and the ids of all."""
+    each, parts = [], []
+    for ids in codec.encode_all(text.as_py() for text in texts):
+        each.append(len(ids))
+        parts.append(np.array(ids, np.int32))
+    offsets = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+    return offsets, np.concatenate([np.empty(0, np.int32), *parts])
+
+
+def _decoded(codec: Codec, offsets: np.ndarray, flat: np.ndarray) -> pa.Array:
+    bounds = zip(offsets[:-1].tolist(), offsets[1:].tolist())
+    return pa.array([codec.decode(flat[a:b].tolist()) for a, b in bounds], pa.string())
+
+
+def _lists(offsets: np.ndarray, flat: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
 
 
 def encoder(vocabulary: Vocabulary):
@@ -150,12 +258,7 @@ def encoder(vocabulary: Vocabulary):
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = make()
         for batch in texts:
-            answers = [codec.segments.answers(text.as_py()) for text in batch]
-            flat = [ids for segments in answers for ids in segments]
-            each = [sum(map(len, segments)) for segments in answers]
-            offsets = np.concatenate([[0], np.cumsum(each, dtype=np.int64)]).astype(np.int32)
-            ids = np.fromiter(chain.from_iterable(flat), np.int32, int(offsets[-1]))
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+            yield _lists(*_encoded(codec, batch))
 
     return encode
 
@@ -168,14 +271,27 @@ def decoder(vocabulary: Vocabulary):
     def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = make()
         for batch in ids:
-            offsets = batch.offsets.to_numpy()
-            flat = batch.values.to_numpy().tolist()
-            bounds = zip(offsets[:-1].tolist(), offsets[1:].tolist())
-            yield pa.array([codec.decode(flat[a:b]) for a, b in bounds], pa.string())
+            yield _decoded(codec, batch.offsets.to_numpy(), batch.values.to_numpy())
 
     return decode
 
 
+def round_trip(vocabulary: Vocabulary):
+    """A function of a text column that gives the ids and the text they decode to, both
+    in one worker."""
+    make = _codecs(vocabulary)
+
+    @F.arrow_udf("struct<ids array<int>, decoded string>")
+    def both(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = make()
+        for batch in texts:
+            offsets, flat = _encoded(codec, batch)
+            columns = [_lists(offsets, flat), _decoded(codec, offsets, flat)]
+            yield pa.StructArray.from_arrays(columns, ["ids", "decoded"])
+
+    return both
+
+
 def encode_documents(docs: DataFrame, text: str = "text", model_path: str = MODEL_PATH):
     """Columns ``row`` (all of the input), ``ids`` and ``decoded``.
 
@@ -185,10 +301,10 @@ def encode_documents(docs: DataFrame, text: str = "text", model_path: str = MODE
     text back exactly unless it holds the whitespace marker itself, which reads as a
     blank.
     """
-    vocabulary = read_vocabulary(model_path)
     value: Column = F.col(f"`{text}`")
-    found = docs.select(F.struct("*").alias("row"), encoder(vocabulary)(value).alias("ids"))
-    return found.withColumn("decoded", decoder(vocabulary)(F.col("ids")))
+    both = round_trip(read_vocabulary(model_path))(value)
+    found = docs.select(F.struct("*").alias("row"), both.alias("found"))
+    return found.select("row", "found.ids", "found.decoded")
 
 
 @query("op5_sentencepiece")

@@ -7,7 +7,8 @@ keeps no path. Ties go as in encoding: of equal scores the piece that begins fir
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import partial
 
 import ahocorasick
 import pyarrow as pa
@@ -29,7 +30,7 @@ class Counter:
         self.automaton.make_automaton()
         self.unknown_score = vocabulary.unknown_score
         self.byte_fallback = vocabulary.byte_fallback
-        self.segments = Segments(vocabulary, self.solve)
+        self.segments = Segments(vocabulary, lambda words: map(self.solve, words))
 
     def solve(self, segment: str) -> int:
         size = len(segment)
@@ -54,18 +55,33 @@ class Counter:
             best[end], count[end] = top, number
         return count[size]
 
+    def count_all(self, texts: Iterable[str | None]) -> Iterator[int]:
+        return map(sum, self.segments.answers(texts))
+
     def count(self, text: str | None) -> int:
-        return sum(self.segments.answers(text))
+        return next(self.count_all([text]))
+
+
+_COUNTERS: dict[str, Counter] = {}
+
+
+def _counter(key: str, vocabulary: Vocabulary) -> Counter:
+    """The worker's counter, which serves all its tasks; the last vocabulary's is kept."""
+    if key not in _COUNTERS:
+        _COUNTERS.clear()
+        _COUNTERS[key] = Counter(vocabulary)
+    return _COUNTERS[key]
 
 
 def counter(vocabulary: Vocabulary):
     """A function of a text column that gives the number of tokens."""
+    make = partial(_counter, vocabulary.key, vocabulary)
 
     @F.arrow_udf("bigint")
     def count(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = Counter(vocabulary)
+        own = make()
         for batch in texts:
-            yield pa.array([own.count(text.as_py()) for text in batch], pa.int64())
+            yield pa.array(own.count_all(text.as_py() for text in batch), pa.int64())
 
     return count
 

@@ -6,9 +6,10 @@ size is bounded by the vocabulary. Nothing is trained.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -18,7 +19,8 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
+SLICE_WORDS = 100_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -69,6 +71,11 @@ class Vocabulary:
                 found.append((piece, number, len(piece.encode()) * best - 0.1))
         return found
 
+    @property
+    def key(self) -> str:
+        """Tells vocabularies apart in a worker."""
+        return hashlib.sha256(repr(self).encode("utf-8", "surrogatepass")).hexdigest()
+
     @property
     def unknown_id(self) -> int:
         return self.kinds.index(UNKNOWN)
@@ -116,34 +123,30 @@ def parse_vocabulary(data: bytes) -> Vocabulary:
 
 
 class Segments:
-    """Cuts a text into segments that are solved one by one.
+    """Cuts texts into words that are solved one by one.
 
     Where no piece has the marker after another character, no path crosses the place
-    before a run of markers, so the best path of a text is that of its words in a
-    row, and words met again need not be solved again. ``solve`` takes a segment with
-    its markers; a bounded number of answers is kept. A vocabulary with such a piece
-    has each text solved as a whole.
+    before a run of markers, and none the places around a character that is in no
+    longer piece. The best path of a text is then that of its words in a row, and words
+    met again need not be solved again. ``solve`` takes a list of words with their
+    markers. A bounded number of answers is kept; when the newer half is full, the
+    older one goes. A vocabulary with pieces that cross has each text solved as a whole.
     """
 
-    def __init__(self, vocabulary: Vocabulary, solve: Callable[[str], object]):
-        crossing = any(
-            re.search(f"[^{MARKER}]{MARKER}", piece) for piece, _, _ in vocabulary.usable()
-        )
-        self.pattern = None if crossing else re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+")
+    def __init__(self, vocabulary: Vocabulary, solve: Callable[[list[str]], Iterable]):
+        longer = [piece for piece, _, _ in vocabulary.usable() if len(piece) > 1]
+        inner = {char for piece in longer for char in piece}
+        alone = "".join(f"\\x{c:02x}" for c in range(128) if chr(c) not in inner and c != 32)
+        crossing = any(re.search(f"[^{MARKER}]{MARKER}", piece) for piece in longer)
+        word = f"{MARKER}*[^{MARKER}{alone}]+|{MARKER}+"
+        self.pattern = None if crossing else re.compile(f"{word}|[{alone}]" if alone else word)
         self.vocabulary = vocabulary
         self.solve = solve
         self.known: dict[str, object] = {}
+        self.older: dict[str, object] = {}
 
-    def answer(self, segment: str):
-        found = self.known.get(segment)
-        if found is None:
-            if len(self.known) >= KNOWN_WORDS:
-                self.known.clear()
-            found = self.known[segment] = self.solve(segment)
-        return found
-
-    def answers(self, text: str | None) -> list:
-        """The answers for a text's segments in order; none for null or empty."""
+    def words(self, text: str | None) -> list[str]:
+        """The words of a text as the vocabulary sees it; none for null or empty."""
         if not text:
             return []
         text = text.replace(MARKER, " ")
@@ -154,7 +157,29 @@ class Segments:
         if self.vocabulary.dummy_prefix:
             text = " " + text
         text = text.replace(" ", MARKER)
-        if self.pattern is None:
-            return [self.solve(text)]
-        known, answer = self.known, self.answer
-        return [known.get(s) or answer(s) for s in self.pattern.findall(text)]
+        return [text] if self.pattern is None else self.pattern.findall(text)
+
+    def answers(self, texts: Iterable[str | None]) -> Iterator[list]:
+        """For each text the answers for its words in order."""
+        slice_, size = [], 0
+        for text in texts:
+            slice_.append(self.words(text))
+            size += len(slice_[-1])
+            if size >= SLICE_WORDS:
+                yield from self._solved(slice_)
+                slice_, size = [], 0
+        yield from self._solved(slice_)
+
+    def _solved(self, texts: list[list[str]]) -> Iterator[list]:
+        if len(self.known) >= KNOWN_WORDS:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = []
+        for word in set().union(*texts).difference(known):
+            if word in older:
+                known[word] = older[word]
+            else:
+                new.append(word)
+        known.update(zip(new, self.solve(new)))
+        for words in texts:
+            yield [known[word] for word in words]

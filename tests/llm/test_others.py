@@ -80,6 +80,22 @@ def test_pieces_are_the_best_path_and_go_back():
     assert codec.encode(None) == [] and counter.count(None) == 0
 
 
+def test_words_solved_together_have_the_paths_of_single_ones():
+    codec = sentencepieces._codecs(unigram.read_vocabulary())()
+    rng = random.Random(8)
+    words = ["▁" + "".join(rng.choices("theanio.,é€中𒀀\n", k=rng.randint(0, 60))) for _ in range(3000)]
+    assert list(codec.solve_all(words)) == [codec.solve(word) for word in words]
+
+
+def test_answers_outlive_the_exchange_of_known_words(monkeypatch):
+    monkeypatch.setattr(unigram, "KNOWN_WORDS", 3)
+    monkeypatch.setattr(unigram, "SLICE_WORDS", 2)
+    vocabulary = unigram.read_vocabulary()
+    texts = ["the of and", None, "of the", "", "in a\nhouse of", "the of and"]
+    counter = token_counts.Counter(vocabulary)
+    assert list(counter.count_all(texts)) == [token_counts.Counter(vocabulary).count(t) for t in texts]
+
+
 def test_pieces_in_spark(spark):
     rows = [(1, None, 1), (2, "", 1), (3, "a b " * 50_000, 1), (3, "a b " * 50_000, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int")
