@@ -17,7 +17,7 @@ from eventloom.operators.detect import (
     runs_with_text,
     text_found,
 )
-from eventloom.operators.manifest import read_entries, resolve_runs, validate_manifest
+from eventloom.operators.manifest import read_entries, resolve_runs, valid_runs, validate_manifest
 from eventloom.operators.naming import with_path_columns
 
 __all__ = [
@@ -33,6 +33,7 @@ __all__ = [
     "quiet_snapshots",
     "read_entries",
     "resolve_runs",
+    "valid_runs",
     "runs_with_text",
     "text_documents",
     "text_found",

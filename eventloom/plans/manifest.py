@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventloom.operators.manifest import read_entries, resolve_runs, validate_manifest
+from eventloom.operators.manifest import read_entries, valid_runs, validate_manifest
 from eventloom.plans import adapters
 from eventloom.plans.adapters import MANIFEST_CTE
 from eventloom.plans.registry import query
@@ -160,7 +160,4 @@ def run_table(spark, sf_dir):
 
 
 def _valid_runs(spark, sf_dir):
-    found = read_entries(adapters.manifests(spark, sf_dir))
-    bad = validate_manifest(found).select("c_custkey", "entry_no").distinct()
-    real = found.filter(F.col("entry_no").isNotNull())
-    return resolve_runs(real.join(bad, ["c_custkey", "entry_no"], "left_anti"))
+    return valid_runs(read_entries(adapters.manifests(spark, sf_dir)))

@@ -7,7 +7,7 @@ import json
 import pytest
 
 from eventloom.functions import option_map
-from eventloom.operators import read_entries, resolve_runs, validate_manifest
+from eventloom.operators import read_entries, resolve_runs, valid_runs, validate_manifest
 from eventloom.sources import read_manifest
 from pyspark.sql import functions as F
 
@@ -134,3 +134,23 @@ def test_integer_beyond_64_bits_is_not_the_default(spark):
     document = json.dumps([docker(exploit_retries="99999999999999999999", ready_delay=10**20, ready_retries=9)])
     run = resolve_runs(read_entries(spark.createDataFrame([(document,)], "value string"))).first()
     assert (run.exploit_retries, run.ready_delay, run.ready_retries, run.target_delay) == (None, None, 9, 0)
+
+
+def test_valid_runs_are_the_entries_without_errors(spark):
+    ok = {"name": "n1", "settings": {"description": "d", "target_image": "i"}}
+    texts = [
+        json.dumps([ok, {"name": 3}, ok | {"name": "n2", "extra": 1}]),
+        json.dumps([7, None, ok | {"settings": {"description": "d", "ready_delay": "x"}}]),
+        "[]",
+        "{broken",
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, value string")
+    entries = read_entries(df)
+    for strict in (False, True):
+        bad = validate_manifest(entries, strict).select("id", "entry_no")
+        real = entries.filter("entry_no IS NOT NULL")
+        expected = resolve_runs(real.join(bad, ["id", "entry_no"], "left_anti")).select("id", "entry_no")
+        found = valid_runs(entries, strict).select("id", "entry_no", "cve_name").collect()
+        assert sorted((r.id, r.entry_no) for r in found) == sorted(map(tuple, expected.collect()))
+        assert [r.cve_name for r in found] == (["n1"] if strict else ["n1", "n2"])
