@@ -52,8 +52,26 @@ CHROME_NAMES = frozenset(
 CHROME_ROLES = frozenset(
     "alert banner complementary contentinfo dialog form menu menubar navigation search".split()
 )
-# An open element of these ends where the next of the same begins.
-IMPLIED_END = frozenset("dd dt li option p td th tr".split())
+# What end tags and implied ends do not reach across.
+KEEPERS = frozenset(["article", "main"])
+P_ENDS = KEEPERS | frozenset("button caption html object table td template th".split())
+IN_HEAD = frozenset("base head html link meta noscript script style template title".split())
+# An open element of these ends where the next of its kind begins: the names of the
+# kind, and the elements out of which that does not reach.
+IMPLIED_END = {
+    name: (frozenset(same.split()), KEEPERS | frozenset(until.split()))
+    for name, same, until in (
+        ("dd", "dd dt", "dl"),
+        ("dt", "dd dt", "dl"),
+        ("li", "li", "menu ol ul"),
+        ("option", "option", "datalist select"),
+        ("td", "td th", "table tr"),
+        ("th", "td th", "table tr"),
+        ("tr", "tr", "table"),
+    )
+}
+# What the markup says of a line.
+PLAIN, MAIN, ARTICLE, SUSPECT, SUSPECT_INSIDE, AROUND, ARTICLE_AROUND = range(7)
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)
@@ -88,69 +106,181 @@ def _is_chrome(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def page_blocks(page: str) -> tuple[list[str], bool]:
-    """Text lines of a page, and whether its own markup says that they are the article.
+def _marks(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element surrounds an article, and whether it is suspected to."""
+    return _is_chrome(name, attributes, in_article), False
 
-    Lines come from an ``article``, failing that from ``main``, failing that from the
-    whole page; without what surrounds an article. A region whose end is missing lasts
-    to the next article, or to the end.
-    """
-    found: dict[str, list[str]] = {"article": [], "main": [], "": []}
-    inside = {"article": 0, "main": 0}
-    seen = {"article": False, "main": False}
-    text: list[str] = []
-    at = 0
-    size = len(page)
 
-    def end_block() -> None:
-        if text:
-            line = " ".join(entities.unescape("".join(text)).split())
-            text.clear()
-            if line:
-                where = "article" if inside["article"] else "main" if inside["main"] else ""
-                found[where].append(line)
+def _elements(page: str) -> tuple[list[tuple], list[bool]]:
+    """Steps of a page, and which of its elements have their own end tag.
 
+    Steps are ``("text", text)``, ``("open", number, name, attributes)``,
+    ``("close", number, name)`` and ``("break", text)``; every element that opens is
+    closed once. An end tag closes what is open inside its element; a ``li``, ``p`` and
+    the like end with their parent, ``head`` where the body begins. What stands inside
+    an article or ``main`` closes nothing around it, except ``body`` and ``html``.
+    """
+    steps: list[tuple] = []
+    ended: list[bool] = []
+    open_now: list[tuple[int, str]] = []
+    opened: dict[str, int] = {}
+
+    def close(depth: int) -> None:
+        while len(open_now) > depth:
+            steps.append(("close", *open_now.pop()))
+            opened[steps[-1][2]] -= 1
+
+    def place(names, until) -> int | None:
+        if not any(opened.get(name) for name in names):
+            return None
+        for i in range(len(open_now) - 1, -1, -1):
+            name = open_now[i][1]
+            if name in names:
+                return i
+            if name in until:
+                return None
+        return None
+
+    def open_one(name: str, attributes: str) -> None:
+        open_now.append((len(ended), name))
+        steps.append(("open", len(ended), name, attributes))
+        ended.append(name in IMPLIED_END or name == "p")
+        opened[name] = opened.get(name, 0) + 1
+
+    at, size = 0, len(page)
     while at < size:
         tag = _TAG.search(page, at)
+        here = page[at : tag.start() if tag else size]
+        if here:
+            if open_now and open_now[-1][1] == "head" and here.strip():
+                close(len(open_now) - 1)
+            steps.append(("text", here))
         if tag is None:
-            text.append(page[at:])
             break
-        if tag.start() > at:
-            text.append(page[at : tag.start()])
         at = tag.end()
         name = tag[2] or tag[5]
         if name is None:  # a comment or declaration
             continue
         name = name.lower()
-        closing = tag[1] or tag[4]
         attributes = (tag[3] if tag[2] else tag[6]) or ""
-        if closing:
-            if name in BLOCKS:
-                end_block()
-            if name in inside and inside[name]:
-                inside[name] -= 1
+        if tag[1] or tag[4]:
+            found = place((name,), () if name in ("body", "html") else KEEPERS - {name})
+            if found is None:
+                steps.append(("break", "\n" if name in BLOCKS else ""))
+            else:
+                close(found + 1)
+                ended[open_now[-1][0]] = True
+                close(found)
             continue
+        if name not in IN_HEAD:
+            found = place(("head",), KEEPERS)
+            if found is not None:
+                close(found)
         if name in BLOCKS:
-            end_block()
-        elif name == "br":
-            text.append(" ")
-        if name in VOID:
-            continue
-        if name in RAW:
+            found = place(("p",), P_ENDS)
+            if found is not None:
+                close(found)
+        if name in IMPLIED_END:
+            same, until = IMPLIED_END[name]
+            found = place(same, until)
+            if found is not None:
+                close(found)
+        if name in VOID or (attributes.endswith("/") and name not in BLOCKS):
+            steps.append(("break", "\n" if name in BLOCKS else " " if name == "br" else ""))
+        elif name in RAW:
             at = _after_raw(page, at, name)
-        elif _is_chrome(name, attributes, inside["article"] > 0):
-            if not attributes.endswith("/"):
-                at = _after_region(page, at, name)
-            if name not in BLOCKS:
+            steps.append(("break", "\n" if name in BLOCKS else ""))
+        elif attributes.endswith("/") and _marks(name, attributes, False) != (False, False):
+            steps.append(("break", "\n"))
+        else:
+            open_one(name, attributes)
+    close(0)
+    return steps, ended
+
+
+def page_lines(page: str) -> tuple[list[str], list[int]]:
+    """All text lines of a page, and what its markup says of each: ``ARTICLE``,
+    ``MAIN``, ``PLAIN``, suspected inside or outside an article, or ``AROUND``.
+
+    An element whose end tag is missing is at most suspected, as nobody knows how far
+    it should reach, and so is a region by its name alone. An article in a region
+    that surrounds articles counts where the page has none outside.
+    """
+    steps, ended = _elements(page)
+    lines: list[str] = []
+    kinds: list[int] = []
+    text: list[str] = []
+    # Of each open element: inside an article, inside main, around, suspected.
+    state = (False, False, False, False)
+    muted = False  # within a line, by an element that surrounds
+    states: list[tuple] = []
+
+    def end_line() -> None:
+        if text:
+            line = " ".join(entities.unescape("".join(text)).split())
+            text.clear()
+            if line:
+                lines.append(line)
+                article, main, around, suspected = state
+                if around:
+                    kinds.append(ARTICLE_AROUND if article and not suspected else AROUND)
+                elif suspected:
+                    kinds.append(SUSPECT_INSIDE if article else SUSPECT)
+                else:
+                    kinds.append(ARTICLE if article else MAIN if main else PLAIN)
+
+    for step in steps:
+        if step[0] == "text":
+            if not muted:
+                text.append(step[1])
+        elif step[0] == "break":
+            if step[1] == "\n":
+                end_line()
+            else:
+                text.append(step[1])
+        elif step[0] == "open":
+            _, number, name, attributes = step
+            article, main, around, suspected = state
+            hard, soft = _marks(name, attributes, article)
+            inline = name not in BLOCKS
+            if not inline:
+                end_line()
+            elif hard:
                 text.append(" ")
-        elif name in inside:
-            inside[name] += 1
-            seen[name] = True
-    end_block()
-    for name in ("article", "main"):
-        if seen[name] and found[name]:
-            return found[name], True
-    return found[""] + found["main"] + found["article"], False
+            states.append((state, muted))
+            if name in ("article", "main") and not article:
+                # Never lost in a region that does not end or is only suspected.
+                article, main, suspected = name == "article", main or name == "main", False
+                muted = False
+            elif inline:
+                muted = muted or (hard and ended[number])
+            elif hard and ended[number]:
+                around = True
+                # An article's own part that is hard chrome is no article text.
+                suspected = suspected or article
+            elif hard or soft:
+                suspected = True
+            state = (article, main, around, suspected)
+        else:
+            if step[2] in BLOCKS:
+                end_line()
+            state, muted = states.pop()
+    end_line()
+    if ARTICLE_AROUND in kinds:
+        other = AROUND if ARTICLE in kinds or MAIN in kinds else ARTICLE
+        kinds = [other if kind == ARTICLE_AROUND else kind for kind in kinds]
+    return lines, kinds
+
+
+def page_blocks(page: str) -> tuple[list[str], bool]:
+    """Text lines of a page by its markup alone, and whether it says that they are the
+    article: the lines of its articles, failing that of ``main``, failing that all.
+    Without what surrounds an article or is suspected to."""
+    lines, kinds = page_lines(page)
+    for wanted in (ARTICLE, MAIN):
+        if wanted in kinds:
+            return [line for line, kind in zip(lines, kinds) if kind == wanted], True
+    return [line for line, kind in zip(lines, kinds) if kind == PLAIN], False
 
 
 def _after_raw(page: str, at: int, name: str) -> int:
@@ -159,38 +289,6 @@ def _after_raw(page: str, at: int, name: str) -> int:
     return end.end() if end else len(page)
 
 
-def _after_region(page: str, at: int, name: str) -> int:
-    """The place where an element that began before ``at`` ends."""
-    depth, start = 1, at
-    article = None
-    while True:
-        tag = _TAG.search(page, at)
-        if tag is None:
-            break
-        at = tag.end()
-        other = (tag[2] or tag[5] or "").lower()
-        if not other:
-            continue
-        if not (tag[1] or tag[4]):
-            if other in RAW:
-                at = _after_raw(page, at, other)
-            elif other == name:
-                if name in IMPLIED_END and depth == 1:
-                    return tag.start()
-                depth += 1
-            elif name == "p" and other in BLOCKS:
-                return tag.start()
-            elif other in ("article", "main") and article is None:
-                article = tag.start()
-        elif other == name:
-            depth -= 1
-            if not depth:
-                return at
-        elif other in ("body", "html") or (other in ("article", "main") and article is None):
-            return tag.start()
-    return len(page) if article is None else max(article, start)
-
-
 def common_lines(left: list[int], right: list[int]) -> list[int]:
     """Places in ``left`` of a longest common subsequence with ``right``.
 

@@ -180,3 +180,16 @@ def test_views_of_a_dialogue(spark):
     ]
     assert "<|im_start|>user name=bob\n<|im_end|>" in ann.text
     assert chat.perspectives(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page, lines", [
+    ("<body><nav><a>Home</a><article><p>story</p></article></body></html>", ["story"]),
+    ("<body><div class=ad>Buy<article><p>story</p></article></body>", ["story"]),
+    ("<head><title>T</title><body><p>text</p></body>", ["text"]),
+    ("<head><title>T</title><p>text", ["text"]),
+    ("<article><p>one<ul><li>two<li class=share>Share</ul><p>three</article>",
+     ["one", "two", "three"]),
+    ("<article>one<table><tr><td class=ad>Buy</table>two</article>", ["one", "two"]),
+])
+def test_missing_end_tags_lose_no_text(page, lines):
+    assert main_text.page_blocks(page)[0] == lines
