@@ -40,8 +40,8 @@ VOID = frozenset(
 )
 RAW = frozenset("iframe noembed noframes script style textarea title xmp".split())
 CHROME = frozenset(
-    "aside button canvas datalist dialog footer form head menu nav noscript object search "
-    "select svg template".split()
+    "aside button canvas datalist dialog footer head menu nav noscript object search select svg "
+    "template".split()
 )
 CHROME_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment "
@@ -71,7 +71,7 @@ IMPLIED_END = {
     )
 }
 # What the markup says of a line.
-PLAIN, MAIN, ARTICLE, SUSPECT, SUSPECT_INSIDE, AROUND, ARTICLE_AROUND = range(7)
+PLAIN, MAIN, ARTICLE, SUSPECT, SUSPECT_INSIDE, AROUND = range(6)
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)
@@ -80,35 +80,33 @@ _TAG = re.compile(
     |<[!?/][^>]*>""",
     re.S | re.X,
 )
-_ATTRIBUTE = re.compile(
-    r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I
-)
+# One attribute after the other, so that nothing within a value is taken for one.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?|"[^"]*"|'[^']*'""")
 _NAME = re.compile(r"[A-Za-z]+")
 
 
-def _is_chrome(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element surrounds an article; an article's own header does not."""
+def _marks(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element surrounds an article, and whether it is suspected to, which
+    its names alone and forms are. An article's own header does not surround it."""
     if name in CHROME or (name == "header" and not in_article):
-        return True
+        return True, False
+    suspected = name == "form"
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return False, suspected
     for attribute, value in _ATTRIBUTE.findall(attributes):
         value, attribute = value.strip("\"'").lower(), attribute.lower()
         if attribute == "hidden" or (attribute == "aria-hidden" and value == "true"):
-            return True
+            return True, False
         if attribute == "role" and value in CHROME_ROLES:
-            return True
+            if value != "form":
+                return True, False
+            suspected = True
         if attribute in ("class", "id"):
             for word in value.split():
                 parts = _NAME.findall(word)
                 if parts and (parts[0] in CHROME_NAMES or parts[-1] in CHROME_NAMES):
-                    return True
-    return False
-
-
-def _marks(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element surrounds an article, and whether it is suspected to."""
-    return _is_chrome(name, attributes, in_article), False
+                    suspected = True
+    return False, suspected
 
 
 def _elements(page: str) -> tuple[list[tuple], list[bool]]:
@@ -198,15 +196,43 @@ def _elements(page: str) -> tuple[list[tuple], list[bool]]:
     return steps, ended
 
 
+def _holders(steps: list[tuple]) -> set[int]:
+    """Numbers of the elements around the articles, and around ``main``, that stand in
+    the fewest regions that surround or are suspected to."""
+    found: dict[str, tuple[int, set[int]]] = {}
+    open_now: list[tuple[int, bool]] = []
+    levels, inside = [0], 0
+    for step in steps:
+        if step[0] == "open":
+            _, number, name, attributes = step
+            if name in KEEPERS and not inside:
+                least, numbers = found.get(name, (levels[-1] + 1, set()))
+                if levels[-1] <= least:
+                    if levels[-1] < least:
+                        numbers = set()
+                    numbers.update(n for n, around in open_now if around)
+                    found[name] = (levels[-1], numbers)
+            around = not inside and any(_marks(name, attributes, False))
+            inside += name == "article"
+            open_now.append((number, around))
+            levels.append(levels[-1] + around)
+        elif step[0] == "close":
+            open_now.pop()
+            levels.pop()
+            inside -= step[2] == "article"
+    return set().union(*(numbers for _, numbers in found.values()))
+
+
 def page_lines(page: str) -> tuple[list[str], list[int]]:
     """All text lines of a page, and what its markup says of each: ``ARTICLE``,
     ``MAIN``, ``PLAIN``, suspected inside or outside an article, or ``AROUND``.
 
     An element whose end tag is missing is at most suspected, as nobody knows how far
-    it should reach, and so is a region by its name alone. An article in a region
-    that surrounds articles counts where the page has none outside.
+    it should reach, and so is a region by its name alone. A region that holds the
+    article is neither: of several articles, those in the fewest such regions count.
     """
     steps, ended = _elements(page)
+    holders = _holders(steps)
     lines: list[str] = []
     kinds: list[int] = []
     text: list[str] = []
@@ -223,7 +249,7 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
                 lines.append(line)
                 article, main, around, suspected = state
                 if around:
-                    kinds.append(ARTICLE_AROUND if article and not suspected else AROUND)
+                    kinds.append(AROUND)
                 elif suspected:
                     kinds.append(SUSPECT_INSIDE if article else SUSPECT)
                 else:
@@ -249,15 +275,13 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
                 text.append(" ")
             states.append((state, muted))
             if name in ("article", "main") and not article:
-                # Never lost in a region that does not end or is only suspected.
-                article, main, suspected = name == "article", main or name == "main", False
-                muted = False
+                article, main = name == "article", main or name == "main"
+            elif number in holders:
+                pass
             elif inline:
                 muted = muted or (hard and ended[number])
             elif hard and ended[number]:
                 around = True
-                # An article's own part that is hard chrome is no article text.
-                suspected = suspected or article
             elif hard or soft:
                 suspected = True
             state = (article, main, around, suspected)
@@ -266,9 +290,6 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
                 end_line()
             state, muted = states.pop()
     end_line()
-    if ARTICLE_AROUND in kinds:
-        other = AROUND if ARTICLE in kinds or MAIN in kinds else ARTICLE
-        kinds = [other if kind == ARTICLE_AROUND else kind for kind in kinds]
     return lines, kinds
 
 

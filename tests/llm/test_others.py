@@ -193,3 +193,16 @@ def test_views_of_a_dialogue(spark):
 ])
 def test_missing_end_tags_lose_no_text(page, lines):
     assert main_text.page_blocks(page)[0] == lines
+
+
+def test_only_the_names_of_an_element_make_it_suspected():
+    kinds = lambda page: dict(zip(*main_text.page_lines(page)))
+    quoted = """<article><div style="overflow: hidden">one</div><p title="The hidden cost">two
+        <p data-x='a class="ad"'>three</article>"""
+    assert set(kinds(quoted).values()) == {main_text.ARTICLE}
+    wrapped = '<form><div class="layout has-sidebar"><p class=ad>Buy<article>story</article></div></form>'
+    assert kinds(wrapped) == {"Buy": main_text.SUSPECT, "story": main_text.ARTICLE}
+    own = '<article><header class="entry-header"><h1>Head</h1></header>story</article>'
+    assert kinds(own) == {"Head": main_text.SUSPECT_INSIDE, "story": main_text.ARTICLE}
+    replies = "<main><article>story</article><div id=comments><article>reply</article></div></main>"
+    assert main_text.page_blocks(replies) == (["story"], True)
