@@ -1,10 +1,10 @@
 """Main text of web pages by differencing against the nearest page of the same host.
 
-A page becomes text lines, one per block. Where a page marks its article, its lines
-are those of the article. Where it does not, the page is paired with the one of the
+A page becomes text lines, one per block. Every page is paired with the one of the
 same host whose URL path is nearest, both are aligned by their longest common
 subsequence of lines, and the lines they share go: menus, notices and footers repeat
-from page to page, an article does not.
+from page to page, an article does not. The markup is a check of that: it restores
+lines inside a marked article, and takes out what surrounds one.
 """
 
 from __future__ import annotations
@@ -347,45 +347,102 @@ def _line_hash(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digest(hashes: list[int]) -> bytes:
+    whole = b"".join(x.to_bytes(8, "big", signed=True) for x in hashes)
+    return hashlib.blake2b(whole, digest_size=16).digest()
+
+
+def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes and lengths of the lines of each page instead of the lines."""
     for batch in batches:
-        pages = [page_blocks(html or "") for html in batch.column("html").to_pylist()]
-        hashes = [None if marked else [_line_hash(x) for x in lines] for lines, marked in pages]
+        pages = [page_lines(html or "")[0] for html in batch.column("html").to_pylist()]
+        hashes = [[_line_hash(x) for x in lines] for lines in pages]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("page_id"),
-                batch.column("url"),
-                pa.array([lines for lines, _ in pages], pa.list_(pa.string())),
+                batch.column("host"),
+                batch.column("path"),
+                pa.array(map(_digest, hashes), pa.binary()),
                 pa.array(hashes, pa.list_(pa.int64())),
-                pa.array([marked for _, marked in pages], pa.bool_()),
+                pa.array([[len(x) for x in lines] for lines in pages], pa.list_(pa.int32())),
             ],
-            ["page_id", "url", "lines", "hashes", "marked"],
+            ["host", "path", "digest", "hashes", "sizes"],
         )
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pairs = zip(batch.column("hashes").to_pylist(), batch.column("other").to_pylist())
-        places = [common_lines(own, other) for own, other in pairs]
+        pages = [page_lines(html or "") for html in batch.column("html").to_pylist()]
+        digests = [_digest([_line_hash(x) for x in lines]) for lines, _ in pages]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("n"), pa.array(places, pa.list_(pa.int32()))], ["n", "shared"]
+            [
+                batch.column("page_id"),
+                batch.column("url"),
+                batch.column("host"),
+                pa.array(digests, pa.binary()),
+                pa.array([lines for lines, _ in pages], pa.list_(pa.string())),
+                pa.array([kinds for _, kinds in pages], pa.list_(pa.int8())),
+            ],
+            ["page_id", "url", "host", "digest", "lines", "kinds"],
         )
 
 
-def _without(copy_share: float):
-    """Lines that are not at the shared places, or all of them in a copy."""
+def _shared(copy_share: float):
+    """Places of the lines that a page shares with the page before or after it in URL
+    order, whichever is nearer.
 
-    @F.arrow_udf(T.ArrayType(T.StringType()))
-    def without(lines: pa.Array, shared: pa.Array) -> pa.Array:
-        found = []
-        for own, out in zip(lines.to_pylist(), shared.to_pylist()):
-            out = set(out or ())
-            common = sum(len(own[i]) for i in out)
-            copy = common > copy_share * sum(map(len, own))
-            found.append(own if copy else [x for i, x in enumerate(own) if i not in out])
-        return pa.array(found, pa.list_(pa.string()))
+    A copy but for some lines keeps all.
+    """
 
-    return without
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for own, sizes, other, second in zip(
+                *(batch.column(c).to_pylist() for c in ("hashes", "sizes", "other", "second"))
+            ):
+                places = common_lines(own, other)
+                if sum(sizes[i] for i in places) > copy_share * sum(sizes):
+                    places = []
+                found.append(places)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("host"),
+                    batch.column("digest"),
+                    pa.array(found, pa.list_(pa.int32())),
+                ],
+                ["host", "digest", "shared"],
+            )
+
+    return shared
+
+
+def kept_lines(lines: list[str], kinds: list[int], shared: list[int] | None) -> list[str]:
+    """Lines of a page that are its text; ``shared`` is None where it has no partner.
+
+    Lines in the article are kept, also those that other pages repeat, and lines of
+    ``main`` where no article has any; nothing that surrounds an article is. Of the
+    others the shared ones go. What is suspected outside a marked article goes, and
+    what is suspected inside needs the partner's word. Without a partner the markup
+    decides on what is outside, as nothing says that it does not repeat.
+    """
+    trusted = next((kind for kind in (ARTICLE, MAIN) if kind in kinds), None)
+    repeated = set(shared or ())
+
+    def keep(place: int, kind: int) -> bool:
+        if kind == AROUND:
+            return False
+        if kind == trusted:
+            return True
+        if trusted is not None and (kind == SUSPECT or (shared is None and kind in (PLAIN, MAIN))):
+            return False
+        return place not in repeated
+
+    return [line for i, (line, kind) in enumerate(zip(lines, kinds)) if keep(i, kind)]
+
+
+@F.arrow_udf(T.StringType())
+def _text(lines: pa.Array, kinds: pa.Array, shared: pa.Array) -> pa.Array:
+    rows = zip(lines.to_pylist(), kinds.to_pylist(), shared.to_pylist())
+    return pa.array(["\n".join(kept_lines(*row)) for row in rows], pa.string())
 
 
 def _common_prefix(left: Column, right: Column) -> Column:
@@ -398,15 +455,16 @@ def _common_prefix(left: Column, right: Column) -> Column:
 
 
 def nearest_pages(pages: DataFrame) -> DataFrame:
-    """``pages`` has ``n`` (distinct), ``host``, ``path`` and ``hashes``; adds ``other``,
-    the hashes of the page of the same host whose path is nearest in order: the
-    neighbour that shares the longer start of the path, the earlier one in a tie. A
+    """``pages`` has ``host``, ``path``, ``digest``, ``hashes`` and ``sizes``; adds
+    ``other``, the hashes of the page of the same host whose path is nearest in order:
+    the neighbour that shares the longer start of the path, the earlier one in a tie.
+    ``second`` are those of the neighbour on the other side, if it has the same host. A
     page alone on its host, or without a URL, has none.
 
     A host with a third of all pages lies in several ranges of the sort order; only
     the pages at the ends of the ranges (two for each partition) are carried over.
     """
-    order = ["host", "path", "n"]
+    order = ["host", "path", "digest"]
     ranges = pages.filter("host IS NOT NULL").orderBy(*order)
     ranges = stored(
         ranges.select(
@@ -428,10 +486,11 @@ def nearest_pages(pages: DataFrame) -> DataFrame:
     )
     within = Window.partitionBy("range").orderBy("at")
     found = ranges.join(ends, "range").select(
-        "n",
         "host",
         "path",
+        "digest",
         "hashes",
+        "sizes",
         F.coalesce(F.lag(here).over(within), "tail_before").alias("before"),
         F.coalesce(F.lead(here).over(within), "head_after").alias("after"),
     )
@@ -441,48 +500,59 @@ def nearest_pages(pages: DataFrame) -> DataFrame:
         return F.when(same, _common_prefix(F.col("path"), F.col(f"{page}.path"))).otherwise(-1)
 
     before, after = F.coalesce(near("before"), F.lit(-1)), F.coalesce(near("after"), F.lit(-1))
-    other = F.when(after > before, F.col("after.hashes")).when(
-        before >= 0, F.col("before.hashes")
-    )
-    return found.select("n", "hashes", other.alias("other")).filter("other IS NOT NULL")
+    from_before = F.when(before >= 0, F.col("before.hashes"))
+    from_after = F.when(after >= 0, F.col("after.hashes"))
+    return found.select(
+        "host",
+        "digest",
+        "hashes",
+        "sizes",
+        F.when(after > before, from_after).otherwise(from_before).alias("other"),
+        F.when(after > before, from_before).otherwise(from_after).alias("second"),
+    ).filter("other IS NOT NULL")
 
 
 def main_text(pages: DataFrame, copy_share: float = COPY_SHARE) -> DataFrame:
     """``page_id``, ``url`` and ``text`` of every page, from the whole of ``html``.
 
-    Null and empty pages have an empty text. A page whose article is marked keeps all
-    of its lines, also those that other pages repeat. Else the lines shared with the
-    nearest page go, unless they hold more than ``copy_share`` of the characters: then
-    one page is a copy of the other and both keep all. Rows repeated with equal URL
-    and page are each other's copies. An unreadable URL gives no host and no partner.
+    Null and empty pages have an empty text. Pages of one host with equal lines are one
+    page here, at the first of their paths, so its partner has other lines. What
+    :func:`kept_lines` says of a page is its text. A page that shares more than
+    ``copy_share`` of its characters with its partner is a copy but for some lines: then
+    only what the second neighbour shares too counts. An unreadable URL gives no host
+    and no partner.
+
+    Pages are taken apart twice, so that what is sorted by URL is hashes and only one
+    shuffle moves the lines.
     """
     plain = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
         F.col("html").cast("string").alias("html"),
+        F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("host"),
+        F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("")).alias("path"),
     )
-    extracted = plain.mapInArrow(
-        _extract,
-        "page_id long, url string, lines array<string>, hashes array<long>, marked boolean",
+    narrow = plain.filter("host IS NOT NULL").mapInArrow(
+        _narrow,
+        "host string, path string, digest binary, hashes array<long>, sizes array<int>",
     )
-    extracted = stored(
-        extracted.withColumn("n", F.monotonically_increasing_id()), "page-lines"
+    distinct = narrow.groupBy("host", "digest").agg(
+        F.min("path").alias("path"),
+        F.first("hashes").alias("hashes"),
+        F.first("sizes").alias("sizes"),
     )
-    open_pages = extracted.filter("NOT marked")
-    narrow = open_pages.select(
-        "n",
-        F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("host"),
-        F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("")).alias("path"),
-        "hashes",
+    shared = nearest_pages(distinct).mapInArrow(
+        _shared(copy_share), "host string, digest binary, shared array<int>"
     )
-    shared = nearest_pages(narrow).mapInArrow(_shared, "n long, shared array<int>")
-    joined = open_pages.join(shared, "n", "left")
-    left = _without(copy_share)(F.col("lines"), F.col("shared"))
-    differenced = joined.select("page_id", "url", left.alias("lines"))
-    marked = extracted.filter("marked").select("page_id", "url", "lines")
-    return marked.unionAll(differenced).select(
-        "page_id", "url", F.array_join("lines", "\n").alias("text")
+    extract = "page_id long, url string, host string, digest binary, lines array<string>, kinds array<byte>"
+    placed = plain.filter("host IS NOT NULL").mapInArrow(_extract, extract)
+    alone = plain.filter("host IS NULL").mapInArrow(_extract, extract)
+    joined = placed.join(shared, ["host", "digest"], "left")
+    columns = ["page_id", "url", "lines", "kinds", "shared"]
+    every = joined.select(*columns).unionAll(
+        alone.withColumn("shared", F.lit(None).cast("array<int>")).select(*columns)
     )
+    return every.select("page_id", "url", _text("lines", "kinds", "shared").alias("text"))
 
 
 @query("op10_main_text")

@@ -206,3 +206,17 @@ def test_only_the_names_of_an_element_make_it_suspected():
     assert kinds(own) == {"Head": main_text.SUSPECT_INSIDE, "story": main_text.ARTICLE}
     replies = "<main><article>story</article><div id=comments><article>reply</article></div></main>"
     assert main_text.page_blocks(replies) == (["story"], True)
+
+
+def test_marked_pages_are_differenced_too(spark):
+    story = lambda i: f"""<div>Menu</div><header class="entry-header">Head {i}</header>
+        <article><p class="share-bar">Share it<p>Quoted<p class="reply">Own answer {i}</article>
+        <footer>Imprint {i}</footer>"""
+    cards = lambda i: f"""<div>Menu</div><div class=body>Story {i} in full</div>
+        <article>Card {i}</article>"""
+    rows = [(i, f"http://h/{i}", story(i)) for i in range(4)]
+    rows += [(10 + i, f"http://k/{i}", cards(i)) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_text.main_text(df).collect()}
+    assert got[2] == "Quoted\nOwn answer 2"
+    assert got[12] == "Story 2 in full\nCard 2"
