@@ -390,7 +390,9 @@ def _shared(copy_share: float):
     """Places of the lines that a page shares with the page before or after it in URL
     order, whichever is nearer.
 
-    A copy but for some lines keeps all.
+    Where that one is a copy but for some lines, those that are on a second page too;
+    an article is not on both. Where a host has no third page, what the two share goes:
+    their texts differ.
     """
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,8 +402,9 @@ def _shared(copy_share: float):
                 *(batch.column(c).to_pylist() for c in ("hashes", "sizes", "other", "second"))
             ):
                 places = common_lines(own, other)
-                if sum(sizes[i] for i in places) > copy_share * sum(sizes):
-                    places = []
+                if second is not None and sum(sizes[i] for i in places) > copy_share * sum(sizes):
+                    both = set(common_lines(own, second))
+                    places = [i for i in places if i in both]
                 found.append(places)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -458,11 +461,11 @@ def nearest_pages(pages: DataFrame) -> DataFrame:
     """``pages`` has ``host``, ``path``, ``digest``, ``hashes`` and ``sizes``; adds
     ``other``, the hashes of the page of the same host whose path is nearest in order:
     the neighbour that shares the longer start of the path, the earlier one in a tie.
-    ``second`` are those of the neighbour on the other side, if it has the same host. A
-    page alone on its host, or without a URL, has none.
+    ``second`` are those of the neighbour on the other side, at the ends of a host those
+    of the next but one. A page alone on its host, or without a URL, has none.
 
     A host with a third of all pages lies in several ranges of the sort order; only
-    the pages at the ends of the ranges (two for each partition) are carried over.
+    the pages at the ends of the ranges (four for each partition) are carried over.
     """
     order = ["host", "path", "digest"]
     ranges = pages.filter("host IS NOT NULL").orderBy(*order)
@@ -475,24 +478,44 @@ def nearest_pages(pages: DataFrame) -> DataFrame:
         "page-order",
     )
     here = F.struct("host", "path", "hashes")
+    within = Window.partitionBy("range").orderBy("at")
+    ranges = ranges.select(
+        "*",
+        F.lag(here).over(within).alias("before"),
+        F.lag(here, 2).over(within).alias("before_2"),
+        F.lead(here).over(within).alias("after"),
+        F.lead(here, 2).over(within).alias("after_2"),
+    )
     ends = ranges.groupBy("range").agg(
-        F.min_by(here, "at").alias("head"), F.max_by(here, "at").alias("tail")
+        F.min_by(here, "at").alias("head"),
+        F.min_by("after", "at").alias("head_2"),
+        F.max_by(here, "at").alias("tail"),
+        F.max_by("before", "at").alias("tail_2"),
     )
     every = Window.orderBy("range")  # one row for each partition
     ends = ends.select(
         "range",
         F.lag("tail").over(every).alias("tail_before"),
+        F.coalesce(F.lag("tail_2").over(every), F.lag("tail", 2).over(every)).alias("tail_2_before"),
         F.lead("head").over(every).alias("head_after"),
+        F.coalesce(F.lead("head_2").over(every), F.lead("head", 2).over(every)).alias("head_2_after"),
     )
-    within = Window.partitionBy("range").orderBy("at")
     found = ranges.join(ends, "range").select(
         "host",
         "path",
         "digest",
         "hashes",
         "sizes",
-        F.coalesce(F.lag(here).over(within), "tail_before").alias("before"),
-        F.coalesce(F.lead(here).over(within), "head_after").alias("after"),
+        F.coalesce("before", "tail_before").alias("before"),
+        F.coalesce(
+            "before_2",
+            F.when(F.col("before").isNull(), F.col("tail_2_before")).otherwise(F.col("tail_before")),
+        ).alias("before_2"),
+        F.coalesce("after", "head_after").alias("after"),
+        F.coalesce(
+            "after_2",
+            F.when(F.col("after").isNull(), F.col("head_2_after")).otherwise(F.col("head_after")),
+        ).alias("after_2"),
     )
 
     def near(page: str) -> Column:
@@ -500,6 +523,10 @@ def nearest_pages(pages: DataFrame) -> DataFrame:
         return F.when(same, _common_prefix(F.col("path"), F.col(f"{page}.path"))).otherwise(-1)
 
     before, after = F.coalesce(near("before"), F.lit(-1)), F.coalesce(near("after"), F.lit(-1))
+
+    def on_host(page: str) -> Column:
+        return F.when(F.col(f"{page}.host") == F.col("host"), F.col(f"{page}.hashes"))
+
     from_before = F.when(before >= 0, F.col("before.hashes"))
     from_after = F.when(after >= 0, F.col("after.hashes"))
     return found.select(
@@ -508,7 +535,9 @@ def nearest_pages(pages: DataFrame) -> DataFrame:
         "hashes",
         "sizes",
         F.when(after > before, from_after).otherwise(from_before).alias("other"),
-        F.when(after > before, from_before).otherwise(from_after).alias("second"),
+        F.when(after > before, F.coalesce(from_before, on_host("after_2")))
+        .otherwise(F.coalesce(from_after, on_host("before_2")))
+        .alias("second"),
     ).filter("other IS NOT NULL")
 
 

@@ -220,3 +220,20 @@ def test_marked_pages_are_differenced_too(spark):
     got = {r.page_id: r.text for r in main_text.main_text(df).collect()}
     assert got[2] == "Quoted\nOwn answer 2"
     assert got[12] == "Story 2 in full\nCard 2"
+
+
+def test_copies_and_short_articles_lose_menus(spark):
+    menu = "<div>" + "</div><div>".join(f"Menu entry {i} of many" for i in range(30)) + "</div>"
+    page = lambda text: f"{menu}<p>{text}<p>Imprint"
+    rows = [(i, f"http://short/{i}", page(f"Short {i}")) for i in range(4)]
+    rows += [(10 + i, f"http://copies/{i}", page("Copied story")) for i in range(3)]
+    rows += [(20, "http://copies/x", page("Other story"))]
+    rows += [(30 + i, f"http://near/a{i}", page("A near copy. " * 300 + f"<p>Date {i}")) for i in range(2)]
+    rows += [(40, "http://near/z", page("Far"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_text.main_text(df).collect()}
+    assert [got[i] for i in range(4)] == [f"Short {i}" for i in range(4)]
+    assert [got[10 + i] for i in range(3)] == ["Copied story"] * 3
+    assert got[20] == "Other story"
+    for i in (30, 31):
+        assert got[i].startswith("A near copy.") and "Menu" not in got[i]
