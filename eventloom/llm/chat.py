@@ -7,7 +7,7 @@ model learns from.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm.registry import query
@@ -25,46 +25,21 @@ def plain(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |"))
 
 
-def perspectives(
-    turns: DataFrame,
-    conversation: str = "conv_id",
-    turn: str = "turn",
-    speaker: str = "role",
-    text: str = "text",
-    turns_each: int = TURNS,
-) -> DataFrame:
-    """One row per dialogue part and participant.
-
-    Columns ``conv_id``, ``part``, ``participant``, ``n_turns``, ``text``, and
-    ``masks``: structs of the first character and the length of each span that the
-    participant speaks, its end marker included.
-
-    A part has the turns numbered from ``part * turns_each`` up to the next part, so
-    a dialogue of any length is rendered in rows of bounded size, and only rows of
-    one part meet in one task. Who speaks in a part has a view of it. ``system`` is
-    no participant and keeps its role in every view; a part in which nobody else
-    speaks has no view. Turns are ordered by number, then speaker, then text; a row
-    that is there twice is rendered once. A null speaker is called ``unknown``, a null
-    text is empty, and a row without conversation or turn number is a dialogue of
-    its own, ``part`` null.
-    """
-    placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
-    named = turns.select(
+def _named(turns: DataFrame, conversation: str, turn: str, speaker: str, text: str) -> DataFrame:
+    return turns.select(
         F.col(f"`{conversation}`").alias("conv_id"),
         F.col(f"`{turn}`").alias("turn"),
         F.coalesce(F.col(f"`{speaker}`"), F.lit(UNNAMED)).alias("speaker"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("said"),
     )
-    # Repeated rows go in each task, before anything is shuffled by conversation.
-    # What stands alone is grouped by its own content, not with all other such rows.
-    parts = (
-        named.withColumn("part", F.when(placed, F.floor(F.col("turn") / turns_each)))
-        .withColumn("alone", F.when(~placed, F.xxhash64("turn", "speaker", "said")))
-        .groupBy("conv_id", "part", "alone")
-        .agg(F.array_sort(F.collect_set(F.struct("turn", "speaker", "said"))).alias("turns"))
-    )
-    speakers = F.array_remove(F.array_distinct(F.col("turns.speaker")), SYSTEM)
-    views = parts.select("conv_id", "part", "turns", F.explode(speakers).alias("participant"))
+
+
+def _placed() -> Column:
+    return F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+
+
+def _pieces() -> Column:
+    """The ``turns`` of a row as ``participant`` sees them."""
 
     def rendered(one: Column) -> Column:
         own = one["speaker"] == F.col("participant")
@@ -82,12 +57,16 @@ def perspectives(
             own.alias("own"),
         )
 
-    views = views.withColumn("pieces", F.transform("turns", rendered))
+    return F.transform("turns", rendered)
+
+
+def _masks(first: Column) -> Column:
+    """Spans of the own ones of ``pieces``, the first of which begins at ``first``."""
     # Bounded by turns_each, so growing an array span by span stays cheap.
-    masks = F.aggregate(
+    return F.aggregate(
         "pieces",
         F.struct(
-            F.lit(0).cast("long").alias("at"),
+            first.cast("long").alias("at"),
             F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("spans"),
         ),
         lambda state, piece: F.struct(
@@ -107,13 +86,122 @@ def perspectives(
         ),
         lambda state: state["spans"],
     )
+
+
+def perspectives(
+    turns: DataFrame,
+    conversation: str = "conv_id",
+    turn: str = "turn",
+    speaker: str = "role",
+    text: str = "text",
+    turns_each: int = TURNS,
+) -> DataFrame:
+    """One row per window of turn numbers and participant; whole dialogues are in
+    :func:`whole_views`.
+
+    Columns ``conv_id``, ``part``, ``participant``, ``n_turns``, ``text``, and
+    ``masks``: structs of the first character and the length of each span that the
+    participant speaks, its end marker included.
+
+    A part has the turns numbered from ``part * turns_each`` up to the next part, so
+    a dialogue of any length is rendered in rows of bounded size, and only rows of
+    one part meet in one task. Who speaks in a part has a view of it. ``system`` is
+    no participant and keeps its role in every view; a part in which nobody else
+    speaks has no view. Turns are ordered by number, then speaker, then text; a row
+    that is there twice is rendered once. A null speaker is called ``unknown``, a null
+    text is empty, and a row without conversation or turn number is a dialogue of
+    its own, ``part`` null.
+    """
+    placed = _placed()
+    named = _named(turns, conversation, turn, speaker, text)
+    # Repeated rows go in each task, before anything is shuffled by conversation.
+    # What stands alone is grouped by its own content, not with all other such rows.
+    parts = (
+        named.withColumn("part", F.when(placed, F.floor(F.col("turn") / turns_each)))
+        .withColumn("alone", F.when(~placed, F.xxhash64("turn", "speaker", "said")))
+        .groupBy("conv_id", "part", "alone")
+        .agg(F.array_sort(F.collect_set(F.struct("turn", "speaker", "said"))).alias("turns"))
+    )
+    speakers = F.array_remove(F.array_distinct(F.col("turns.speaker")), SYSTEM)
+    views = parts.select("conv_id", "part", "turns", F.explode(speakers).alias("participant"))
+
+    views = views.withColumn("pieces", _pieces())
     return views.select(
         "conv_id",
         "part",
         "participant",
         F.size("turns").cast("long").alias("n_turns"),
         F.array_join("pieces.piece", "").alias("text"),
-        masks.alias("masks"),
+        _masks(F.lit(0)).alias("masks"),
+    )
+
+
+def whole_views(
+    turns: DataFrame,
+    conversation: str = "conv_id",
+    turn: str = "turn",
+    speaker: str = "role",
+    text: str = "text",
+    turns_each: int = TURNS,
+) -> DataFrame:
+    """Every participant's view of every whole dialogue, in rows of bounded size.
+
+    Columns as in :func:`perspectives`, and ``first_char``, where a part begins in the
+    view; the texts of a view's parts put together in order are the view, and ``masks``
+    count from its start. Turns are ordered by number, then speaker, then text, and a
+    part has the next ``turns_each`` of them, whatever their numbers are. Who speaks
+    anywhere in a dialogue has a view of all of it, the system's turns included. A row
+    that is there twice is rendered twice. A row without conversation or turn number is
+    a dialogue of its own, ``part`` null.
+
+    The rows of a dialogue are numbered and its views placed in one task, one row after
+    the other; no more than a part is held as one value.
+    """
+    named = _named(turns, conversation, turn, speaker, text)
+    one = F.struct("turn", "speaker", "said")
+    order = Window.partitionBy("conv_id").orderBy("turn", "speaker", "said")
+    placed = named.filter(_placed())
+    parts = (
+        placed.withColumn("part", F.floor((F.row_number().over(order) - 1) / turns_each))
+        .groupBy("conv_id", "part")
+        .agg(F.array_sort(F.collect_list(one)).alias("turns"))
+    )
+    speakers = placed.filter(F.col("speaker") != SYSTEM)
+    speakers = speakers.select("conv_id", F.col("speaker").alias("participant")).distinct()
+    view = Window.partitionBy("conv_id", "participant").orderBy("part")
+    size = F.aggregate(
+        "pieces", F.lit(0).cast("long"), lambda total, x: total + F.char_length(x["piece"])
+    )
+    views = (
+        parts.join(speakers, "conv_id")
+        .withColumn("pieces", _pieces())
+        .withColumn("size", size)
+        .withColumn("first_char", F.sum("size").over(view) - F.col("size"))
+    )
+    alone = (
+        named.filter(~_placed() & (F.col("speaker") != SYSTEM))
+        .select(
+            "conv_id",
+            F.lit(None).cast("long").alias("part"),
+            F.array(one).alias("turns"),
+            F.col("speaker").alias("participant"),
+        )
+        .withColumn("pieces", _pieces())
+        .withColumn("first_char", F.lit(0).cast("long"))
+    )
+    columns = ["conv_id", "part", "participant", "turns", "pieces", "first_char"]
+    return (
+        views.select(*columns)
+        .unionAll(alone.select(*columns))
+        .select(
+            "conv_id",
+            "part",
+            "participant",
+            F.size("turns").cast("long").alias("n_turns"),
+            F.array_join("pieces.piece", "").alias("text"),
+            _masks(F.col("first_char")).alias("masks"),
+            "first_char",
+        )
     )
 
 
@@ -152,5 +240,5 @@ FROM placed GROUP BY conv_id, part, alone, participant
 @query("op7_chat_perspectives", OP7_SQL)
 def op7_chat_perspectives(spark, sf_dir):
     spans = F.transform("masks", lambda m: F.concat(m["start"], F.lit(":"), m["length"]))
-    views = perspectives(read_table(spark, sf_dir, "conversations"))
+    views = whole_views(read_table(spark, sf_dir, "conversations")).drop("first_char")
     return views.withColumn("masks", F.array_join(spans, ","))

@@ -237,3 +237,28 @@ def test_copies_and_short_articles_lose_menus(spark):
     assert got[20] == "Other story"
     for i in (30, 31):
         assert got[i].startswith("A near copy.") and "Menu" not in got[i]
+
+
+def test_whole_dialogues_for_every_participant(spark):
+    said = [(0, "system", "Be kind"), (5, "eve", "I only greet")]
+    said += [(10**9 + 1000 * i, ("ann", "bob")[i % 2], f"turn {i} <|") for i in range(600)]
+    said += [(2 * 10**9, "bob", "again"), (2 * 10**9, "bob", "again")]
+    rows = [(1, *row) for row in said] + [(None, 3, "ann", "lost")] * 2 + [(2, 1, "system", "only")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat.whole_views(df).collect()
+    assert sorted((r.participant, r.part) for r in found if r.conv_id == 1) == [
+        (who, part) for who in ("ann", "bob", "eve") for part in range(3)
+    ]
+    assert [r.text for r in found if r.conv_id != 1] == ["<|im_start|>assistant\nlost<|im_end|>\n"] * 2
+    for who in ("ann", "bob", "eve"):
+        parts = sorted((r for r in found if (r.conv_id, r.participant) == (1, who)), key=lambda r: r.part)
+        text, own = "", []
+        for _, role, what in said:
+            name = "system" if role == "system" else "assistant" if role == who else f"user name={role}"
+            text += f"<|im_start|>{name}\n"
+            body = what.replace("<|", "< |") + "<|im_end|>"
+            own += [(len(text), len(body))] * (role == who)
+            text += body + "\n"
+        assert "".join(r.text for r in parts) == text
+        assert [tuple(m) for r in parts for m in r.masks] == own
+        assert all(text[r.first_char :].startswith(r.text) for r in parts)
