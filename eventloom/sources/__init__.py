@@ -6,6 +6,7 @@ from eventloom.sources.documents import (
     list_artefacts,
     read_format,
     read_layout,
+    read_quarantine,
     read_manifest,
     text_line_rows,
 )
@@ -22,6 +23,7 @@ __all__ = [
     "quarantine",
     "read_format",
     "read_layout",
+    "read_quarantine",
     "read_log",
     "read_manifest",
     "read_process_tables",

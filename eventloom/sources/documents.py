@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from eventloom.constants import FORMAT_TABLES, TEXT_FORMAT
-from eventloom.functions.jsontext import document_events
+from eventloom.functions.jsontext import document_events, line_event
 from eventloom.functions.scalars import strip
 from eventloom.operators.manifest import read_entries
 from eventloom.operators.naming import file_path, with_path_columns
@@ -37,11 +37,19 @@ def broken_documents(documents: DataFrame, text: str = "value") -> DataFrame:
 def json_line_rows(lines: DataFrame, text: str = "value") -> DataFrame:
     """One VARIANT event per JSON line; blank, comment and broken lines fall out."""
     others = [c for c in lines.columns if c != text]
-    return lines.select(*others, F.try_parse_json(F.col(text)).alias("event")).filter(
+    return lines.select(*others, line_event(F.col(text)).alias("event")).filter(
         F.col("event").isNotNull()
     )
 
 
+def broken_lines(lines: DataFrame, text: str = "value") -> DataFrame:
+    """The lines :func:`json_line_rows` passes over, without blank and comment lines."""
+    said = strip(F.col(text))
+    return lines.filter(
+        line_event(F.col(text)).isNull() & (F.length(said) > 0) & ~said.startswith("#")
+    )
+
+
 def text_line_rows(lines: DataFrame, text: str = "value") -> DataFrame:
     """Trimmed, non-blank lines of a text column as ``event``.
 
@@ -64,8 +72,9 @@ def read_format(reader, root: str, format: str) -> DataFrame:
 
     Columns ``cve_name``, ``format``, ``file_name``, ``log_type``, ``log_family``,
     ``snapshot_ts`` and ``event``: text for CEF, else VARIANT. Sensor logs are
-    JSON lines, the normalised formats whole documents. A missing directory is
-    the caller's to leave out in batch; see :func:`read_layout`.
+    JSON lines, the normalised formats whole documents. What cannot be read is in
+    :func:`read_quarantine`. A missing directory is the caller's to leave out in batch;
+    see :func:`read_layout`.
     """
     path = layout_glob(root, format)
     if format == TEXT_FORMAT:
@@ -77,6 +86,17 @@ def read_format(reader, root: str, format: str) -> DataFrame:
     return with_path_columns(rows, "path").drop("path")
 
 
+def read_quarantine(reader, root: str, format: str) -> DataFrame:
+    """``path`` and ``value`` of the documents or lines of a format directory that
+    :func:`read_format` gives no event of; none for CEF, where every line is one."""
+    path = layout_glob(root, format)
+    if format == TEXT_FORMAT:
+        return _text(reader, path, lineSep="\n").filter(F.lit(False)).select("path", "value")
+    if format == "zeek":
+        return broken_lines(_text(reader, path)).select("path", "value")
+    return broken_documents(_text(reader, path, wholetext=True)).select("path", "value")
+
+
 def read_layout(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Events of every format that has files, by format."""
     found = {}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from eventloom.constants import FORMAT_TABLES
-from eventloom.sources.documents import read_format
+from eventloom.sources.documents import read_format, read_quarantine
 from eventloom.sources.logs import LOG_FILES, by_name, log_records
 
 
@@ -35,22 +35,31 @@ def monitor_layout(
     target: Callable[[str], str],
     checkpoint: str,
     formats: tuple[str, ...] = tuple(FORMAT_TABLES),
+    quarantine: Callable[[str], str] | None = None,
 ) -> list[StreamingQuery]:
     """One monitor per format directory: events of new files go to ``target(format)``.
 
     Runs over what is there now and stops; the checkpoint remembers the files
-    seen. Start it again, or on a schedule, for what has come since.
+    seen. Start it again, or on a schedule, for what has come since. What cannot be
+    read goes to ``quarantine(format)``, if that is given.
     """
-    return [
-        read_format(spark.readStream, root, name)
-        .writeStream.format("parquet")
-        .option("path", target(name))
-        .option("checkpointLocation", f"{checkpoint}/{name}")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-        for name in formats
-    ]
+
+    def start(rows: DataFrame, path: str, seen: str) -> StreamingQuery:
+        return (
+            rows.writeStream.format("parquet")
+            .option("path", path)
+            .option("checkpointLocation", f"{checkpoint}/{seen}")
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+
+    found = [start(read_format(spark.readStream, root, x), target(x), x) for x in formats]
+    if quarantine is not None:
+        for x in formats:
+            broken = read_quarantine(spark.readStream, root, x)
+            found.append(start(broken, quarantine(x), f"{x}-quarantine"))
+    return found
 
 
 def route_batches(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:

@@ -36,7 +36,7 @@ from eventloom.sources import (
     read_process_tables,
     read_runs,
 )
-from eventloom.sources.documents import read_format, read_manifest
+from eventloom.sources.documents import read_format, read_manifest, read_quarantine
 from eventloom.streaming import (
     alert_once,
     monitor_layout,
@@ -318,3 +318,47 @@ def test_documents_and_manifests_over_several_lines(spark, tmp_path):
     manifest = tmp_path / "runs.json"
     manifest.write_text('[\n  {\n    "name": "one"\n  },\n  {\n    "name": "two"\n  }\n]\n')
     assert read_manifest(spark, str(manifest)).count() == 2
+
+
+def test_no_document_or_line_is_lost_without_a_word(spark, tmp_path):
+    layout = tmp_path / "layout"
+    for name, text in {
+        "ecs/a.json": '[{"k": 1, "k": 2}, {"k": 3}]',
+        "ecs/b.json": '{"k": 4, "k": "5"}',
+        "ecs/c.json": '{"k": {"a": 1, "a": 2}}',
+        "ecs/d.json": "[1, 2",
+        "zeek/conn.log": '# comment\n\n{"k": 6, "k": 7}\nbroken\n{"k": 8}',
+    }.items():
+        file = layout / "run" / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(text)
+    got = {
+        x: sorted(
+            r.k for r in read_format(spark.read, str(layout), x)
+            .select(F.variant_get("event", "$.k", "bigint").alias("k")).collect()
+        )
+        for x in ("ecs", "zeek")
+    }
+    assert got == {"ecs": [2, 3, 5], "zeek": [7, 8]}
+    lost = {
+        x: sorted(r.value for r in read_quarantine(spark.read, str(layout), x).collect())
+        for x in ("ecs", "zeek")
+    }
+    assert lost == {"ecs": ["[1, 2", '{"k": {"a": 1, "a": 2}}'], "zeek": ["broken"]}
+    place = lambda kind: lambda x: str(tmp_path / kind / x)
+    jobs = monitor_layout(
+        spark, str(layout), place("out"), str(tmp_path / "seen"), ("ecs", "zeek"), place("bad")
+    )
+    for job in jobs:
+        job.awaitTermination()
+    assert [spark.read.parquet(place("out")(x)).count() for x in ("ecs", "zeek")] == [3, 2]
+    assert [spark.read.parquet(place("bad")(x)).count() for x in ("ecs", "zeek")] == [2, 1]
+
+
+def test_an_array_above_the_size_of_a_variant_keeps_its_events(spark):
+    elements = F.expr("sequence(1, 140000)")
+    text = F.transform(elements, lambda i: F.concat(
+        F.lit('{"k":'), i.cast("string"), F.lit(',"p":"'), F.repeat(F.lit("x"), 1000), F.lit('"}')))
+    big = spark.range(1).select(F.concat(F.lit("["), F.array_join(text, ","), F.lit("]")).alias("value"))
+    k = F.variant_get("event", "$.k", "bigint")
+    assert tuple(document_rows(big).agg(F.count(k), F.sum(k)).first()) == (140_000, 9_800_070_000)
