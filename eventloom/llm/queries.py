@@ -2,6 +2,7 @@
 
 from eventloom.llm import (  # noqa: F401
     chat,
+    fingerprints,
     line_dedup,
     main_text,
     mixing,
