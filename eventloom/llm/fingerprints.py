@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm.registry import query
-from eventloom.llm.text import BLANK_CLASS, ascii_lower, read_table
+from eventloom.llm.text import BLANK_CLASS, read_table
 
 GRAM_WORDS = 5
 WINDOW_GRAMS = 4
@@ -49,15 +49,19 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _code(word: Column) -> Column:
-    """A number of 28 bits for a word."""
-    return F.conv(F.left(F.md5(word), F.lit(7)), 16, 10).cast("long")
+    """A number of 28 bits for a word, so that five times a power fit a long."""
+    return F.shiftright(F.crc32(word), 4)
 
 
 def word_codes(text: Column) -> Column:
     """The numbers of a text's words in order."""
-    blocks = F.regexp_extract_all(ascii_lower(text), F.lit(_BLOCK), F.lit(0))
-    words = lambda block: F.regexp_extract_all(block, F.lit(_WORD), F.lit(0))
-    return F.flatten(F.transform(blocks, lambda block: F.transform(words(block), _code)))
+    words = lambda part: F.transform(
+        F.regexp_extract_all(part, F.lit(_WORD), F.lit(0)), _code
+    )
+    blocks = F.regexp_extract_all(text, F.lit(_BLOCK), F.lit(0))
+    return F.when(F.octet_length(text) <= BLOCK_CHARS, words(text)).otherwise(
+        F.flatten(F.transform(blocks, words))
+    )
 
 
 def _gram_hashes(codes: Column) -> Column:
@@ -65,10 +69,9 @@ def _gram_hashes(codes: Column) -> Column:
     powers = [pow(BASE, k, MODULUS) for k in range(GRAM_WORDS)]
 
     def rolled(code: Column, at: Column) -> Column:
-        total = code * F.lit(powers[-1]) % F.lit(MODULUS)
+        total = code * F.lit(powers[-1])
         for k in range(1, GRAM_WORDS):
-            term = F.get(codes, at + k) * F.lit(powers[GRAM_WORDS - 1 - k]) % F.lit(MODULUS)
-            total = total + term
+            total = total + F.get(codes, at + k) * F.lit(powers[GRAM_WORDS - 1 - k])
         return total % F.lit(MODULUS)
 
     short = F.aggregate(
@@ -128,16 +131,18 @@ def winnowed(text: Column) -> Column:
     )
 
 
+def distinct_hashes(fingerprint: Column) -> Column:
+    return F.array_distinct(F.transform(fingerprint, lambda e: e["hash"]))
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Shared hashes of two fingerprints over all of their hashes; 1 for two empty ones."""
+    """Of two fingerprints' distinct hashes the share that both have; 1 for none at all."""
 
-    def of(x: Column, y: Column) -> Column:
-        both = F.size(F.array_intersect(x, y))
-        all_of = F.size(x) + F.size(y) - both
-        return F.when(all_of > 0, both / all_of).otherwise(F.lit(1.0))
+    def share(both: Column) -> Column:
+        every = F.size(a) + F.size(b) - both
+        return F.when(every > 0, both / every).otherwise(F.lit(1.0))
 
-    distinct = lambda f: F.array_distinct(F.transform(f, lambda e: e["hash"]))
-    return _let(distinct(a), lambda x: _let(distinct(b), lambda y: of(x, y)))
+    return _let(F.size(F.array_intersect(a, b)), share)
 
 
 def as_text(fingerprint: Column) -> Column:
@@ -149,7 +154,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """Columns ``row`` (all of the input) and ``fingerprint`` (see :func:`winnowed`).
 
     One row for every row: repeated rows have equal fingerprints, as have all equal
-    texts. Letters A-Z count as small ones. Texts of fewer than five words are one gram
+    texts. Texts of fewer than five words are one gram
     and texts of up to four grams one window, so both have one element. A null text is
     an empty one and has no element; an empty table gives no rows. A text's words take
     24 bytes each while it is worked on.
@@ -179,7 +184,8 @@ def _numbers(values: list[int]) -> Column:
 def followed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Fingerprints of every document beside those of the next one by descending id.
 
-    Columns ``doc_id``, ``text``, ``fingerprint``, ``next_text``, ``next_fingerprint``.
+    Columns ``doc_id``, ``text``, ``fingerprint``, its distinct ``hashes``, ``next_text``
+    and ``next_hashes``.
     The smallest id is followed by the largest, an only document by itself. Documents
     without an id come last, rows with the same id in the order of a hash of their
     texts. A null text is an empty one; an empty table gives no rows.
@@ -237,15 +243,11 @@ def followed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     order = Window.partitionBy("shard").orderBy("copy", F.col("down").asc_nulls_last(), "mark")
     return (
         dealt.withColumn("fingerprint", winnowed(F.col("text")))
-        .withColumn("next", F.lead(F.struct("text", "fingerprint")).over(order))
+        .withColumn("hashes", distinct_hashes(F.col("fingerprint")))
+        .withColumn("next_text", F.lead("text").over(order))
+        .withColumn("next_hashes", F.lead("hashes").over(order))
         .filter("copy = 0")
-        .select(
-            "doc_id",
-            "text",
-            "fingerprint",
-            F.col("next.text").alias("next_text"),
-            F.col("next.fingerprint").alias("next_fingerprint"),
-        )
+        .select("doc_id", "text", "fingerprint", "hashes", "next_text", "next_hashes")
     )
 
 
@@ -262,16 +264,29 @@ WITH d AS (
   FROM following
 ), texts AS (
   SELECT doc_id, 0 AS kind, text FROM edited UNION ALL SELECT doc_id, 1, edited FROM edited
+), split AS (
+  SELECT doc_id, kind, regexp_extract_all(text, '{_WORD}') AS w FROM texts
+), word_list AS (
+  SELECT DISTINCT unnest(w) AS word FROM split
+), bits AS (
+  SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)
+), numbered AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+    range(0, len(hex(encode(word))), 2), lambda k: ('0x' || substr(hex(encode(word)), k + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) >> 4 AS code
+  FROM word_list, bits
 ), codes AS (
-  SELECT doc_id, kind, list_transform(regexp_extract_all(translate(text,
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}'),
-    lambda w: ('0x' || substr(md5(w), 1, 7))::BIGINT) AS c FROM texts
+  SELECT s.doc_id, s.kind, coalesce(list(n.code ORDER BY s.i) FILTER (n.code IS NOT NULL), []) AS c
+  FROM (SELECT doc_id, kind, unnest(w) AS word, unnest(range(len(w))) AS i FROM split) s
+  JOIN numbered n ON n.word = s.word GROUP BY s.doc_id, s.kind
 ), grams AS (
   SELECT doc_id, kind, i, CASE
     WHEN len(c) < {GRAM_WORDS}
     THEN list_reduce(list_prepend(0::BIGINT, c), lambda h, x: (h * {BASE} + x) % {MODULUS})
     ELSE ({' + '.join(
-        f"c[i + {k + 1}] * {pow(BASE, GRAM_WORDS - 1 - k, MODULUS)} % {MODULUS}"
+        f"c[i + {k + 1}] * {pow(BASE, GRAM_WORDS - 1 - k, MODULUS)}"
         for k in range(GRAM_WORDS))}) % {MODULUS} END AS h
   FROM (SELECT *, unnest(range(0, greatest(len(c) - {GRAM_WORDS - 1}, 1))) AS i FROM codes
         WHERE len(c) > 0)
@@ -315,12 +330,13 @@ def op11_fingerprints(spark, sf_dir):
     edited = F.concat(F.left("text", n - third), F.left("next_text", third))
     rows = both.select("*", n.cast("long").alias("n_chars"), edited.alias("edited"))
     rows = rows.withColumn("edited_marks", winnowed(F.col("edited")))
+    rows = rows.withColumn("edited_hashes", distinct_hashes(F.col("edited_marks")))
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("fingerprint")).alias("fingerprint"),
         as_text(F.col("edited_marks")).alias("edited_fingerprint"),
-        likeness(F.col("fingerprint"), F.col("edited_marks")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
+        likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
     )
