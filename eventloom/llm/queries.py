@@ -3,6 +3,7 @@
 from eventloom.llm import (  # noqa: F401
     chat,
     fingerprints,
+    hard_negatives,
     line_dedup,
     main_text,
     mixing,
