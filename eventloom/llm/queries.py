@@ -9,6 +9,7 @@ from eventloom.llm import (  # noqa: F401
     mixing,
     neighbours,
     ngram_join,
+    prefix_trie,
     quality,
     sentencepieces,
     token_counts,
