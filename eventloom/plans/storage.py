@@ -23,6 +23,7 @@ from eventloom.sinks.files import (
     write_json_array,
 )
 from eventloom.sinks.tables import log_table_rows
+from eventloom.sources.arrays import read_array_files
 from eventloom.sources.documents import (
     document_rows,
     json_line_rows,
@@ -151,6 +152,26 @@ def json_documents(spark, sf_dir):
     )
 
 
+@query(
+    "s04_array_files",
+    f"WITH {CONN_CTE} SELECT uid, ts, service, resp_bytes FROM conn",
+)
+def array_files(spark, sf_dir):
+    """Array documents in files, read by byte ranges."""
+    root = work_folder(spark, "array-files")
+    events = adapters.zeek_conn(spark, sf_dir).select(
+        F.lit("zeek").alias("format"), "cve_name", F.lit("conn").alias("log_type"),
+        _lines(None).alias("event"),
+    )
+    write_json_array(events, root)
+    return read_array_files(spark.read, root).select(
+        F.variant_get("event", "$.uid", "string").alias("uid"),
+        F.variant_get("event", "$.ts", "double").alias("ts"),
+        F.try_variant_get("event", "$.service", "string").alias("service"),
+        F.try_variant_get("event", "$.resp_bytes", "bigint").alias("resp_bytes"),
+    )
+
+
 @query(
     "s04_broken_documents",
     "SELECT event_id % 6 AS kind, count(*) AS n, event_id % 6 IN (0, 1, 4) AS parsed FROM events GROUP BY ALL",

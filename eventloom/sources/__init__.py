@@ -1,5 +1,6 @@
 """Readers."""
 
+from eventloom.sources.arrays import array_quarantine, read_array_files
 from eventloom.sources.documents import (
     document_rows,
     json_line_rows,
@@ -14,6 +15,7 @@ from eventloom.sources.logs import good_records, parse_lines, quarantine, read_l
 from eventloom.sources.process import process_rows, read_process_tables
 
 __all__ = [
+    "array_quarantine",
     "document_rows",
     "good_records",
     "json_line_rows",
@@ -21,6 +23,7 @@ __all__ = [
     "parse_lines",
     "process_rows",
     "quarantine",
+    "read_array_files",
     "read_format",
     "read_layout",
     "read_quarantine",
