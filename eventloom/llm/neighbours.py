@@ -206,7 +206,8 @@ def search(
     rows but themselves. Nearness is Euclidean distance in double precision, ties go to
     the smaller id. Rows without an id, and vectors that are null, zero, or hold null,
     NaN or infinite components take no part, neither do vectors of another length than
-    most have. A row that is there twice counts once. An empty table gives no rows.
+    most have. A row that is there twice counts once, and of rows with one id the smallest
+    vector. An empty table gives no rows. Fewer than 64 rows are one partition.
 
     The graph and the classifier are fitted on about ``sample_rows`` rows, on the
     driver, whatever the size of the table; every row is indexed. A partition is
@@ -221,7 +222,9 @@ def search(
     if usual is None:
         return spark.createDataFrame([], result)
     rows = rows.filter(F.size("vector") == usual["length"])
-    total = usual["count"]
+    # A row that is there several times takes one place among the nearest.
+    rows = stored(rows.groupBy("vec_id").agg(F.min("vector").alias("vector")), "vectors")
+    total = rows.count()
 
     # The rows of smallest hash, at most sample_rows of them.
     share = min(1.0, sample_rows / total)

@@ -39,7 +39,8 @@ SPARE = 16
 # Rows without an id are told apart by a number of their text from here on.
 NO_ID = 1 << 62
 
-CHUNK_BYTES = 1 << 22
+# Bytes of texts whose words are hashed at a time.
+CHUNK_BYTES = 1 << 18
 _ONE = np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -522,11 +523,27 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` without all but the smallest id of each group."""
-    groups = similar_groups(docs, text, doc_id)
+    """The rows of ``docs`` without all but the smallest id of each group.
+
+    Rows that share an id and a text count once. Of rows that share an id alone, the one
+    whose text has the smallest hash has the id; the others take part as rows without
+    one do, so that each goes or stays for its own text.
+    """
+    given = F.col(f"`{doc_id}`").cast("long")
+    marked = docs.select(
+        F.struct("*").alias("row"), given.alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("mark")
+    )
+    several = marked.groupBy("id").agg(F.min("mark").alias("least"), F.max("mark").alias("most"))
+    several = stored(several.filter("id IS NOT NULL AND least <> most").select("id", "least"), "shared-ids")
+    keyed = marked.join(several, "id", "left").select(
+        "row",
+        F.col(f"row.`{text}`").alias("text"),
+        F.when(F.col("least").isNull() | (F.col("mark") == F.col("least")), F.col("id")).alias("id"),
+    )
+    keyed = keyed.select("row", "text", doc_key("id", "text").alias("doc"))
+    groups = similar_groups(keyed, "text", "doc")
     gone = stored(groups.filter("component <> doc").select("doc").distinct(), "near-copies")
-    rows = docs.select(F.struct("*").alias("row"), doc_key(doc_id, text).alias("doc"))
-    rows = rows.join(gone, "doc", "left_anti").groupBy("doc").agg(F.min("row").alias("row"))
+    rows = keyed.join(gone, "doc", "left_anti").groupBy("doc").agg(F.min("row").alias("row"))
     return rows.select("row.*")
 
 

@@ -11,10 +11,10 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +26,10 @@ from eventloom.llm.unigram import read_vocabulary
 # Words of at most so many bytes are solved so many at a time.
 SHORT_WORD = 48
 TOGETHER = 8192
+# Ids that are looked up before their bytes are joined.
+DECODED_IDS = 1 << 16
+# Bytes of texts that are answered at a time; a longer text is answered alone.
+ANSWER_BYTES = 1 << 20
 
 
 class DoubleArray:
@@ -81,7 +85,7 @@ class Codec:
         self.unknown = vocabulary.unknown_id
         self.bytes = vocabulary.byte_ids if vocabulary.byte_fallback else None
         self.dummy_prefix = vocabulary.dummy_prefix
-        self.segments = Segments(vocabulary, self.solve_all)
+        self.segments = Segments(vocabulary, self._packed)
         self.arrays = tuple(np.array(a, np.int32) for a in (trie.base, trie.check, trie.value))
         self.scores = np.array([score for _, score in self.usable])
         self.numbers = np.array([number for number, _ in self.usable], np.int32)
@@ -202,15 +206,28 @@ class Codec:
         for row in np.stack(steps[::-1], 1).tolist():
             yield None if -1 in row else tuple(number for number in row if number != -2)
 
-    def encode_all(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
-        for answers in self.segments.answers(texts):
-            yield list(chain.from_iterable(answers))
+    def _packed(self, words: list[str]) -> Iterator[bytes]:
+        """Answers as they are kept: four bytes an id."""
+        return (array("i", ids).tobytes() for ids in self.solve_all(words))
 
-    def encode(self, text: str | None) -> list[int]:
-        return next(self.encode_all([text]))
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of every text."""
+        parts: list[bytes] = []
+        for answers, ends in self.segments.answers(texts):
+            parts.append(b"".join(answers))
+            if ends:
+                yield np.frombuffer(b"".join(parts), np.int32)
+                parts = []
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join([self.texts[number] for number in ids]).decode("utf-8", "replace")
+    def encode(self, text: str | None) -> list[int]:
+        return next(self.encode_all([text])).tolist()
+
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        parts = []
+        for at in range(0, len(ids), DECODED_IDS):
+            some = np.asarray(ids[at : at + DECODED_IDS]).tolist()
+            parts.append(b"".join([self.texts[number] for number in some]))
+        text = b"".join(parts).decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
@@ -231,19 +248,35 @@ def _codecs(vocabulary: Vocabulary):
     return partial(_codec, vocabulary.key, vocabulary, trie)
 
 
+def _slices(batch: pa.Array) -> Iterator[pa.Array]:
+    """A batch of texts or id lists in slices of bounded bytes, one row at least."""
+    offsets = batch.offsets.to_numpy() if pa.types.is_list(batch.type) else None
+    if offsets is None:
+        lengths = pc.fill_null(pc.binary_length(batch), 0).to_numpy()
+        offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    else:
+        offsets = offsets.astype(np.int64) * 4
+    start = 0
+    while start < len(batch):
+        end = int(np.searchsorted(offsets, offsets[start] + ANSWER_BYTES, "right")) - 1
+        end = min(max(end, start + 1), len(batch))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _encoded(codec: Codec, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Where each text's ids begin and end, and the ids of all."""
     each, parts = [], []
     for ids in codec.encode_all(text.as_py() for text in texts):
         each.append(len(ids))
-        parts.append(np.array(ids, np.int32))
+        parts.append(ids)
     offsets = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
     return offsets, np.concatenate([np.empty(0, np.int32), *parts])
 
 
 def _decoded(codec: Codec, offsets: np.ndarray, flat: np.ndarray) -> pa.Array:
     bounds = zip(offsets[:-1].tolist(), offsets[1:].tolist())
-    return pa.array([codec.decode(flat[a:b].tolist()) for a, b in bounds], pa.string())
+    return pa.array([codec.decode(flat[a:b]) for a, b in bounds], pa.string())
 
 
 def _lists(offsets: np.ndarray, flat: np.ndarray) -> pa.ListArray:
@@ -258,7 +291,8 @@ def encoder(vocabulary: Vocabulary):
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = make()
         for batch in texts:
-            yield _lists(*_encoded(codec, batch))
+            for part in _slices(batch):
+                yield _lists(*_encoded(codec, part))
 
     return encode
 
@@ -271,7 +305,8 @@ def decoder(vocabulary: Vocabulary):
     def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = make()
         for batch in ids:
-            yield _decoded(codec, batch.offsets.to_numpy(), batch.values.to_numpy())
+            for part in _slices(batch):
+                yield _decoded(codec, part.offsets.to_numpy(), part.values.to_numpy())
 
     return decode
 
@@ -285,9 +320,10 @@ def round_trip(vocabulary: Vocabulary):
     def both(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = make()
         for batch in texts:
-            offsets, flat = _encoded(codec, batch)
-            columns = [_lists(offsets, flat), _decoded(codec, offsets, flat)]
-            yield pa.StructArray.from_arrays(columns, ["ids", "decoded"])
+            for part in _slices(batch):
+                offsets, flat = _encoded(codec, part)
+                columns = [_lists(offsets, flat), _decoded(codec, offsets, flat)]
+                yield pa.StructArray.from_arrays(columns, ["ids", "decoded"])
 
     return both
 
@@ -295,8 +331,9 @@ def round_trip(vocabulary: Vocabulary):
 def encode_documents(docs: DataFrame, text: str = "text", model_path: str = MODEL_PATH):
     """Columns ``row`` (all of the input), ``ids`` and ``decoded``.
 
-    Whole texts are encoded, a text at a time, in one pass without a shuffle; scores
-    add in double precision. Null and empty texts have no ids and decode to an empty
+    Whole texts are encoded in one pass without a shuffle, about a megabyte of them at a
+    time, and long ones part by part: a worker holds a text, its ids (four bytes each)
+    and what they decode to. Scores add in double precision. Null and empty texts have no ids and decode to an empty
     text. Equal rows have equal ids, an empty table has no rows. Decoding gives the
     text back exactly unless it holds the whitespace marker itself, which reads as a
     blank.

@@ -56,7 +56,12 @@ class Counter:
         return count[size]
 
     def count_all(self, texts: Iterable[str | None]) -> Iterator[int]:
-        return map(sum, self.segments.answers(texts))
+        total = 0
+        for answers, ends in self.segments.answers(texts):
+            total += sum(answers)
+            if ends:
+                yield total
+                total = 0
 
     def count(self, text: str | None) -> int:
         return next(self.count_all([text]))

@@ -19,8 +19,10 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
-KNOWN_WORDS = 200_000
-SLICE_WORDS = 100_000
+KNOWN_WORDS = 100_000
+SLICE_WORDS = 50_000
+# Longer texts are cut into words part by part.
+PART_CHARS = 1 << 18
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -48,6 +50,8 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, data[at : at + length]
         at += length
 
+_WORD_START = re.compile("(?<! ) ")
+
 
 @dataclass(frozen=True)
 class Vocabulary:
@@ -145,41 +149,60 @@ class Segments:
         self.known: dict[str, object] = {}
         self.older: dict[str, object] = {}
 
-    def words(self, text: str | None) -> list[str]:
-        """The words of a text as the vocabulary sees it; none for null or empty."""
-        if not text:
-            return []
-        text = text.replace(MARKER, " ")
+    def parts(self, text: str | None) -> Iterator[str]:
+        """A text in parts that begin where a word does: at a blank behind another
+        character. A text without such a place is one part."""
+        text = (text or "").replace(MARKER, " ")
+        start = 0
+        while self.pattern is not None and len(text) - start > PART_CHARS:
+            cut = _WORD_START.search(text, start + PART_CHARS)
+            if cut is None:
+                break
+            yield text[start : cut.start()]
+            start = cut.start()
+        yield text[start:] if start else text
+
+    def words(self, text: str, begins: bool = True) -> list[str]:
+        """The words of a part as the vocabulary sees it; ``begins``: the text's first."""
         if self.vocabulary.collapse_blanks:
             text = " ".join(part for part in text.split(" ") if part)
-            if not text:
-                return []
-        if self.vocabulary.dummy_prefix:
+            # The blank that the part was cut at.
+            text = " " + text if text and not begins else text
+        if not text:
+            return []
+        if self.vocabulary.dummy_prefix and begins:
             text = " " + text
         text = text.replace(" ", MARKER)
         return [text] if self.pattern is None else self.pattern.findall(text)
 
-    def answers(self, texts: Iterable[str | None]) -> Iterator[list]:
-        """For each text the answers for its words in order."""
+    def answers(self, texts: Iterable[str | None]) -> Iterator[tuple[list, bool]]:
+        """For each text the answers for its words in order, a long one's in several
+        lists; with the last comes True."""
         slice_, size = [], 0
         for text in texts:
-            slice_.append(self.words(text))
-            size += len(slice_[-1])
-            if size >= SLICE_WORDS:
-                yield from self._solved(slice_)
-                slice_, size = [], 0
+            before = None
+            for part in self.parts(text):
+                if before is not None:
+                    slice_.append((before, False))
+                begins = before is None
+                before = self.words(part, begins)
+                size += len(before)
+                if size >= SLICE_WORDS:
+                    yield from self._solved(slice_)
+                    slice_, size = [], len(before)
+            slice_.append((before, True))
         yield from self._solved(slice_)
 
-    def _solved(self, texts: list[list[str]]) -> Iterator[list]:
+    def _solved(self, texts: list[tuple[list[str], bool]]) -> Iterator[tuple[list, bool]]:
         if len(self.known) >= KNOWN_WORDS:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
         new = []
-        for word in set().union(*texts).difference(known):
+        for word in set().union(*(words for words, _ in texts)).difference(known):
             if word in older:
                 known[word] = older[word]
             else:
                 new.append(word)
         known.update(zip(new, self.solve(new)))
-        for words in texts:
-            yield [known[word] for word in words]
+        for words, ends in texts:
+            yield [known[word] for word in words], ends

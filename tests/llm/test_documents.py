@@ -206,3 +206,14 @@ def test_mixing_reaches_targets(spark):
     assert again.count() == sum(r.copies for r in plan)
     assert mixing.plan_copies(table(spark, ODD)).count() == len(ODD)
     assert mixing.mix(table(spark, rows).limit(0)).count() == 0
+
+
+def test_one_of_each_loses_no_text_to_a_shared_id(spark):
+    long_text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long_text), (2, long_text + " x"), (2, "quite another text of seven words"),
+            (2, "quite another text of seven words"), (2, None), (3, "one more text that nobody else has")]
+    left = ngram_join.one_of_each(table(spark, [(*r, "s") for r in rows]))
+    assert sorted((r.doc_id, r.text or "") for r in left.collect()) == [
+        (1, long_text), (2, ""), (2, "quite another text of seven words"),
+        (3, "one more text that nobody else has"),
+    ]

@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyarrow.fs import LocalFileSystem
 
@@ -127,6 +128,38 @@ def test_nearest_vectors(spark):
     assert neighbours.search(df.limit(0), lambda i: i % 100 == 0).count() == 0
 
 
+def test_repeated_vectors_take_one_place(spark):
+    rows = [(i % 50, [float((i % 50) ** 2), 1.0]) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    found = neighbours.search(df, lambda i: i == 0, parts=1).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(i, float(i * i)) for i in range(1, 11)]
+
+
+@pytest.mark.parametrize("part_chars, answer_bytes", [(1, 1), (5, 40), (60, 1 << 20)])
+def test_long_texts_in_parts_have_the_same_pieces(monkeypatch, part_chars, answer_bytes):
+    codec = sentencepieces._codecs(unigram.read_vocabulary())()
+    counter = token_counts.Counter(unigram.read_vocabulary())
+    rng = random.Random(part_chars)
+    texts = ["", "   ", " a", "a ", None] + [
+        "".join(rng.choices("the  anioé \n中" + unigram.MARKER, k=rng.randint(1, 300))) for _ in range(80)
+    ]
+    want = [codec.encode(t) for t in texts]
+    monkeypatch.setattr(unigram, "PART_CHARS", part_chars)
+    monkeypatch.setattr(unigram, "SLICE_WORDS", 7)
+    monkeypatch.setattr(sentencepieces, "ANSWER_BYTES", answer_bytes)
+    batch = pa.array(texts, pa.string())
+    slices = list(sentencepieces._slices(batch))
+    found = [sentencepieces._lists(*sentencepieces._encoded(codec, part)) for part in slices]
+    assert pa.concat_arrays(found).to_pylist() == want
+    ids = pa.array(want, pa.list_(pa.int32()))
+    decoded = [
+        sentencepieces._decoded(codec, p.offsets.to_numpy(), p.values.to_numpy())
+        for p in sentencepieces._slices(ids)
+    ]
+    assert pa.concat_arrays(decoded).to_pylist() == [codec.decode(i) for i in want]
+    assert list(counter.count_all(texts)) == [len(i) for i in want]
+
+
 def test_lines_of_a_page():
     page = """<html><head><title>T</title><script>var a="</p><article>";</script></head><body>
     <nav><ul><li>Home</ul></nav><div class="cookie-notice"><div>We use</div></div>
