@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventloom.operators import detect
+from eventloom.operators import detect, file_index
 from eventloom.operators.convert import fan_out
 from eventloom.plans import adapters
 from eventloom.plans.adapters import CONN_CTE
 from eventloom.plans.registry import query
+from eventloom.session import work_folder
+from eventloom.sinks.files import write_event_store
 from eventloom.sources.documents import text_line_rows
 
 _HIT = '(coalesce("id.resp_p" = 4444, false) OR coalesce("id.orig_p" = 4444, false))'
@@ -156,6 +158,48 @@ def ports_per_run(spark, sf_dir):
     return detect.ports_seen(adapters.zeek_conn(spark, sf_dir), ["cve_name"])
 
 
+def _conn_store(spark, sf_dir):
+    """Connection records by run, written in two steps with an index update after each."""
+    store = work_folder(spark, "conn-store")
+    conn = adapters.zeek_conn(spark, sf_dir)
+    for rest in (0, 1):
+        part = conn.filter(F.pmod("event_id", F.lit(2)) == rest)
+        part.write.mode("append").partitionBy("cve_name").parquet(store)
+        file_index.update_port_index(spark, store)
+    return store
+
+
+@query("g01_port_detect_indexed", PORT_DETECT_SQL)
+def port_detect_indexed(spark, sf_dir):
+    """The same from port bitmaps, reading rows of the files with the port only."""
+    return file_index.detect_port_indexed(spark, _conn_store(spark, sf_dir), 4444)
+
+
+@query(
+    "g03_ports_seen_indexed",
+    f"""WITH {CONN_CTE} SELECT cve_name, port FROM (
+        SELECT cve_name, "id.resp_p" AS port FROM conn
+        UNION SELECT cve_name, "id.orig_p" FROM conn) AS p WHERE port IS NOT NULL""",
+)
+def ports_indexed(spark, sf_dir):
+    return file_index.ports_seen_indexed(spark, _conn_store(spark, sf_dir), ["cve_name"])
+
+
+@query(
+    "f02_g02_text_indexed",
+    f"""WITH {CONN_CTE} SELECT cve_name, format, 'network' AS log_type, count(*) AS events FROM (
+      SELECT cve_name, unnest(['cim', 'ecs', 'ocsf', 'cef', 'udm']) AS format FROM conn
+      WHERE "id.resp_h" = '192.168.3.77') GROUP BY ALL""",
+)
+def text_indexed(spark, sf_dir):
+    """One host's address, looked for in an event store through its trigram index."""
+    store = work_folder(spark, "event-store")
+    write_event_store(_conn_events(spark, sf_dir), store)
+    file_index.update_text_index(spark, store)
+    rows = file_index.events_with_text(spark, store, "192.168.3.77")
+    return detect.runs_with_text(rows, "192.168.3.77")
+
+
 _FORMAT_OF = """CASE event_id % 5 WHEN 0 THEN 'cim' WHEN 1 THEN 'ecs' WHEN 2 THEN 'ocsf' WHEN 3 THEN 'cef'
   ELSE 'udm' END"""
 
