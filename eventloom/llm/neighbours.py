@@ -32,11 +32,12 @@ def neighbour_graph(vectors: np.ndarray, degree: int = 10) -> np.ndarray:
     squares = (vectors**2).sum(1)
     degree = min(degree, len(vectors) - 1)
     found = []
-    for start in range(0, len(vectors), 256):
-        block = vectors[start : start + 256]
+    for start in range(0, len(vectors), 64):
+        block = vectors[start : start + 64]
         distance = squares[None, :] - 2 * block @ vectors.T
         distance[np.arange(len(block)), np.arange(start, start + len(block))] = np.inf
-        found.append(np.argpartition(distance, degree - 1, axis=1)[:, :degree])
+        nearest = np.argpartition(distance, degree - 1, axis=1)[:, :degree]
+        found.append(nearest.astype(np.int32))
     return np.concatenate(found)
 
 
@@ -222,15 +223,14 @@ def search(
     if usual is None:
         return spark.createDataFrame([], result)
     rows = rows.filter(F.size("vector") == usual["length"])
-    # A row that is there several times takes one place among the nearest.
-    rows = stored(rows.groupBy("vec_id").agg(F.min("vector").alias("vector")), "vectors")
-    total = rows.count()
+    total = usual["count"]
 
     # The rows of smallest hash, at most sample_rows of them.
     share = min(1.0, sample_rows / total)
     drawn = F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))
     sample = rows.filter(drawn).limit(sample_rows) if share < 1 else rows
-    learnt = np.array([r[0] for r in sample.orderBy("vec_id").select("vector").collect()])
+    # As Arrow, not as rows of Python numbers: the driver holds the sample once.
+    learnt = _matrix(sample.orderBy("vec_id").select("vector").toArrow().column("vector"))
     parts = max(1, min(parts, len(learnt) // 32))
     if parts > 1:
         graph = neighbour_graph(learnt)
@@ -253,8 +253,10 @@ def search(
             )
 
     routed = "vec_id long, vector array<double>, places array<int>"
+    # A row that is there several times takes one place among the nearest.
+    distinct = rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
     indexed = stored(
-        rows.mapInArrow(lambda b: route(b, 1), routed).select(
+        distinct.mapInArrow(lambda b: route(b, 1), routed).select(
             F.get("places", F.lit(0)).alias("part"), "vec_id", "vector"
         ),
         "vector-index",
