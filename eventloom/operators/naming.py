@@ -94,3 +94,25 @@ def with_path_columns(df: DataFrame, path: Column | str) -> DataFrame:
             "snapshot_ts": snapshot_time(F.col("log_type")),
         }
     )
+
+
+# What :func:`eventloom.sinks.write_event_files` lays out.
+_EVENT_FILE = f"/format=({_FORMATS})/log_family=([^/]+)/cve_name=([^/]+)/[^/]+$"
+
+
+def with_event_file_columns(df: DataFrame, path: Column | str) -> DataFrame:
+    """The columns of :func:`with_path_columns` for event files of this library, whose
+    folders name format, log family and run; the family stands for the log type too."""
+    path = F.col(path) if isinstance(path, str) else path
+    part = lambda group: F.nullif(F.regexp_extract(path, _EVENT_FILE, group), F.lit(""))
+    family = _unescaped(part(2))
+    return df.withColumns(
+        {
+            "cve_name": _unescaped(part(3)),
+            "format": part(1),
+            "file_name": file_of_path(path),
+            "log_type": family,
+            "log_family": family,
+            "snapshot_ts": F.lit(None).cast("double"),
+        }
+    )

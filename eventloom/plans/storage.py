@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.jsontext import document_events
 from eventloom.operators.convert import cluster_by_run, fan_out, text_documents
+from eventloom.operators.detect import missing_artefacts as missing_run_artefacts
 from eventloom.operators.detect import missing_formats, port_match
 from eventloom.operators.naming import with_path_columns
 from eventloom.plans import adapters, conversions
@@ -28,6 +29,7 @@ from eventloom.sources.documents import (
     document_rows,
     json_line_rows,
     list_artefacts,
+    read_layout,
     text_line_rows,
 )
 from eventloom.sources.logs import good_records, parse_lines, quarantine, read_log
@@ -245,6 +247,29 @@ def event_files(spark, sf_dir):
     return lines.groupBy("format", "log_family", "cve_name").agg(F.count("*").alias("events"))
 
 
+@query("k01_s08_read_layout", _EVENT_COUNTS)
+def event_files_again(spark, sf_dir):
+    """Event files of all formats, written and found again by the layout reader."""
+    root = work_folder(spark, "files")
+    write_event_files(_all_events(spark, sf_dir), root)
+    columns = ["format", "log_family", "cve_name"]
+    rows = None
+    for events in read_layout(spark, root).values():
+        events = events.select(*columns)
+        rows = events if rows is None else rows.unionByName(events)
+    return rows.groupBy(*columns).agg(F.count("*").alias("events"))
+
+
+@query(
+    "g05_run_artefacts",
+    f"""WITH {CONN_CTE} SELECT DISTINCT cve_name, format FROM conn,
+        (SELECT unnest(['pcap', 'zeek', 'cim', 'ecs', 'ocsf']) AS format) AS f""",
+)
+def run_artefacts(spark, sf_dir):
+    """What every run should have left; none has a capture, or a connection log by name."""
+    return missing_run_artefacts(list_artefacts(spark, _log_folder(spark, sf_dir)))
+
+
 @query("k01_event_files_rebalanced", _EVENT_COUNTS)
 def event_files_rebalanced(spark, sf_dir):
     """The same for input that is not clustered by run."""

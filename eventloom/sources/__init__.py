@@ -5,6 +5,7 @@ from eventloom.sources.documents import (
     document_rows,
     json_line_rows,
     list_artefacts,
+    read_event_files,
     read_format,
     read_layout,
     read_quarantine,
@@ -24,6 +25,7 @@ __all__ = [
     "process_rows",
     "quarantine",
     "read_array_files",
+    "read_event_files",
     "read_format",
     "read_layout",
     "read_quarantine",

@@ -10,7 +10,7 @@ from eventloom.constants import FORMAT_TABLES, TEXT_FORMAT
 from eventloom.functions.jsontext import document_events, line_event
 from eventloom.functions.scalars import strip
 from eventloom.operators.manifest import read_entries
-from eventloom.operators.naming import file_path, with_path_columns
+from eventloom.operators.naming import file_path, with_event_file_columns, with_path_columns
 
 # Readers take a batch session's `read` or a stream's `readStream` alike.
 
@@ -97,15 +97,33 @@ def read_quarantine(reader, root: str, format: str) -> DataFrame:
     return broken_documents(_text(reader, path, wholetext=True)).select("path", "value")
 
 
+def read_event_files(reader, root: str, format: str) -> DataFrame:
+    """Events of one format out of :func:`eventloom.sinks.write_event_files`.
+
+    The columns are those of :func:`read_format`. JSON formats are JSON lines there, so
+    their files split; CEF is lines of text.
+    """
+    rows = _text(reader, f"{root.rstrip('/')}/format={format}/*/*", lineSep="\n")
+    rows = text_line_rows(rows) if format == TEXT_FORMAT else json_line_rows(rows)
+    return with_event_file_columns(rows, "path").drop("path")
+
+
 def read_layout(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Events of every format that has files, by format."""
-    found = {}
+    """Events of every format that has files, by format.
+
+    Knows folders by run, then format, and the event files this library writes; a root
+    may hold both.
+    """
+    found: dict[str, DataFrame] = {}
     for name in FORMAT_TABLES:
-        try:
-            found[name] = read_format(spark.read, root, name)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+        for read in (read_format, read_event_files):
+            try:
+                rows = read(spark.read, root, name)
+            except AnalysisException as error:
+                if error.getCondition() != "PATH_NOT_FOUND":
+                    raise
+            else:
+                found[name] = found[name].unionByName(rows) if name in found else rows
     return found
 
 
