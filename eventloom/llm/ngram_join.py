@@ -9,7 +9,8 @@ when candidates are chosen, and looked up in the other document's sorted set whe
 are decided. A document with so many long lists that a partner could hide in them
 alone is searched once more over all of its shingles among documents like it, and what
 only long lists hold even then, large groups of near copies, is linked around one
-document of each list first and across what is still apart after that.
+document of each list first; what is still apart after that meets in its rarest lists,
+and bits of both sets rule out most pairs there.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm.components import components
@@ -36,6 +37,10 @@ PERCENT = 75
 SHORT = 32
 # How many lists more than needed a document goes into: one for so many shingles.
 SPARE = 16
+# Words of 64 bits that show what sets of long lists differ in.
+BIT_WORDS = 16
+# Members of a long list that stand for others and meet all its members in one task.
+BLOCK = 1024
 # Rows without an id are told apart by a number of their text from here on.
 NO_ID = 1 << 62
 
@@ -407,10 +412,6 @@ def _size(at: str) -> Column:
     return F.shiftright(at, 32)
 
 
-def _place(at: str) -> Column:
-    return F.col(at).bitwiseAND(F.lit(0xFFFFFFFF))
-
-
 def _across(docs: DataFrame, shares: DataFrame, hidden: DataFrame, links: DataFrame):
     """Links among documents that meet in long lists alone (``hidden``).
 
@@ -420,62 +421,118 @@ def _across(docs: DataFrame, shares: DataFrame, hidden: DataFrame, links: DataFr
     union that is no larger, so it links with it too; and so do the ones that stand for
     two linked documents with each other. Documents are therefore compared with those
     that stand for others, not with each other.
+
+    Lists are taken in the order of their lengths, so that a pair meets in the rarest
+    that it shares. Large groups are joined around one document each first; what is
+    still apart meets in its lists, if the bits of the pair allow a link.
     """
-    long_lists = shares.filter("partners IS NULL").join(hidden, "doc", "left_semi")
+    long_lists = stored(
+        shares.filter("partners IS NULL")
+        .join(hidden, "doc", "left_semi")
+        .select("s", "doc", _size("at").alias("n"))
+        .distinct(),
+        "long-lists",
+    )
+    # The shorter lists first, after those that are short: they hold no unknown pair.
+    lengths = long_lists.groupBy("s").agg(F.count("*").alias("length"))
+    in_order = Window.partitionBy("doc").orderBy("length", "s")
+    ranked = long_lists.join(lengths, "s").select(
+        "s",
+        "doc",
+        "n",
+        F.row_number().over(in_order).alias("place"),
+        F.count("*").over(Window.partitionBy("doc")).alias("lists"),
+    )
     # Enough lists for a pair to meet in one; nothing to spare.
-    enough = _size("at") - F.ceil(_size("at") * PERCENT / 100) + 1
+    enough = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
     rows = stored(
-        long_lists.filter(_place("at") < enough).select("s", "doc", "at").distinct(), "long-lists"
+        ranked.filter(F.col("n") - F.col("lists") + F.col("place") <= enough), "first-lists"
     )
+    word = F.shiftright("s", 6).bitwiseAND(F.lit(BIT_WORDS - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(63)).cast("int"))
+    none = F.lit(0).cast("long")
     held = long_lists.groupBy("doc").agg(
-        F.sort_array(F.collect_set("s")).alias("lists"), F.max(_size("at")).alias("n")
-    )
-    standing = held.groupBy(F.sha2(F.to_binary(F.array_join("lists", ","), F.lit("utf-8")), 256))
-    standing = stored(
-        standing.agg(F.min(F.struct("n", "doc")).alias("one")).select("one.doc"), "standing"
-    )
-    # First around two members of each list: the smallest, and one that differs from
-    # list to list. Large groups of near copies hang together by these.
-    member = F.struct(F.xxhash64("doc", "s").alias("draw"), "doc", "at")
-    first = rows.groupBy("s").agg(
-        F.array(F.min(F.struct(F.lit(0).cast("long").alias("draw"), "doc", "at")), F.min(member))
-        .alias("firsts")
+        F.min("n").alias("n"),
+        F.count("*").alias("lists"),
+        F.array(
+            *(F.coalesce(F.bit_xor(F.when(word == k, bit)), none) for k in range(BIT_WORDS))
+        ).alias("bits"),
+        F.sha2(F.to_binary(F.array_join(F.sort_array(F.collect_list("s")), ","), F.lit("utf-8")), 256)
+        .alias("same"),
     )
-    first = first.select("s", F.explode("firsts").alias("first"))
-    around = (
-        rows.join(first, "s")
-        .filter("doc <> first.doc")
-        .select("doc", "at", F.col("first.doc").alias("partner"), F.col("first.at").alias("other"))
-        .filter(_may_match("at", "other"))
-        .select("doc", "partner")
+    least = F.min(F.struct("n", "doc")).over(Window.partitionBy("same"))
+    held = stored(held.withColumn("stands", least["doc"] == F.col("doc")).drop("same"), "held")
+    members = stored(rows.select("s", "doc").join(held, "doc"), "members")
+    for turn in range(2):
+        placed = _mixed_lists(members, links)
+        # Around the one that holds least besides long lists, then around any other.
+        draw = [F.lit(0) if turn else F.col("n") - F.col("lists"), F.xxhash64("doc", F.lit(turn))]
+        first = placed.groupBy("s").agg(
+            F.min_by(F.struct("doc", "n", "lists", "bits", "part"), F.struct(*draw, "doc")).alias("y")
+        )
+        around = (
+            placed.alias("x")
+            .join(first, "s")
+            .filter("x.part <> y.part")
+            .filter(_may_link("x", "y"))
+            .groupBy("x.doc", F.col("y.doc").alias("partner"))
+            .agg(F.count("*").alias("common"))
+            .groupBy("doc")
+            .agg(F.max_by("partner", F.struct("common", "partner")).alias("partner"))
+        )
+        links = links.unionAll(verified(docs, around))
+    placed = _mixed_lists(members, links)
+    # Members of a list meet in blocks, each of so many of those that stand for others.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = placed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    other = placed.filter("stands").withColumn("block", F.expr("pmod(xxhash64(doc), blocks)"))
+    apart = (
+        every.repartition(tasks, "s", "block")
+        .alias("x")
+        .join(
+            other.repartition(tasks, "s", "block").alias("y"),
+            F.expr("x.s = y.s AND x.block = y.block AND x.part <> y.part"),
+        )
+        .filter("NOT (x.stands AND x.doc > y.doc)")
+        .filter(_may_link("x", "y"))
+        .select("x.doc", F.col("y.doc").alias("partner"))
     )
-    links = links.unionAll(verified(docs, around))
-    # Pairs that are linked by now, whichever way, need no look.
+    return links.unionAll(verified(docs, apart))
+
+
+def _mixed_lists(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members, with the component (``part``) that links put them in, of those lists
+    that hold more components than one."""
     known = components(links).withColumnRenamed("node", "doc")
-    placed = rows.join(known, "doc", "left").select(
-        "s", "doc", "at", F.coalesce("component", "doc").alias("part")
-    )
-    mixed = placed.groupBy("s").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    placed = stored(
-        placed.join(mixed.filter("low < high").select("s"), "s", "left_semi"), "mixed-lists"
-    )
-    other = placed.join(standing, "doc", "left_semi").select(
-        "s",
-        F.col("doc").alias("partner"),
-        F.col("at").alias("other"),
-        F.col("part").alias("other_part"),
+    placed = members.join(known, "doc", "left").withColumn("part", F.coalesce("component", "doc"))
+    mixed = placed.groupBy("s").agg(
+        F.min("part").alias("low"),
+        F.max("part").alias("high"),
+        F.ceil(F.count("*") / BLOCK).alias("blocks"),
     )
-    apart = placed.join(other, "s").filter("part <> other_part").filter(_may_match("at", "other"))
-    return links.unionAll(verified(docs, apart.select("doc", "partner")))
+    mixed = mixed.filter("low < high").select("s", "blocks")
+    return stored(placed.drop("component").join(mixed, "s"), "mixed-lists")
 
 
-def _may_match(at: str, other: str) -> Column:
-    """By sizes and by what can be common before and behind one common shingle."""
-    m, n = _size(at), _size(other)
-    most = (
-        F.least(_place(at), _place(other)) + F.least(m - _place(at), n - _place(other))
-    )
-    return most * (100 + PERCENT) >= (m + n) * PERCENT
+def _may_link(x: str, y: str) -> Column:
+    """By sizes and by how much at least is in one of two sets only.
+
+    That is all that is in no long list, and of the long lists at least as many as bits
+    differ: each bit tells whether an odd number of them fell on it. Linked sets of m and
+    n shingles have m + n - 2 T(m, n) such shingles at most.
+    """
+
+    def of(side: str, name: str) -> Column:
+        return F.col(f"{side}.{name}")
+
+    m, n = of(x, "n"), of(y, "n")
+    differ = m - of(x, "lists") + n - of(y, "lists")
+    may = F.lit(True)
+    for k in range(BIT_WORDS):
+        differ = differ + F.bit_count(of(x, "bits")[k].bitwiseXOR(of(y, "bits")[k]))
+        if k in (BIT_WORDS // 4 - 1, BIT_WORDS - 1):  # most pairs are told by a quarter
+            may &= (m + n - differ) * (100 + PERCENT) >= (m + n) * (2 * PERCENT)
+    return may
 
 
 def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
