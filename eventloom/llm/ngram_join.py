@@ -396,16 +396,23 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc"),
+                batch.column("id"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(digests, pa.binary()),
             ],
-            ["doc", "n", "digest"],
+            ["doc", "id", "n", "digest"],
         )
 
 
+_SIGNATURES = "doc long, id long, n long, digest binary"
+
+
+def text_number(text: str) -> Column:
+    return F.xxhash64(F.col(f"`{text}`")).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID)
+
+
 def doc_key(doc_id: str, text: str) -> Column:
-    number = F.xxhash64(F.col(f"`{text}`")).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID)
-    return F.coalesce(F.col(f"`{doc_id}`").cast("long"), number)
+    return F.coalesce(F.col(f"`{doc_id}`").cast("long"), text_number(text))
 
 
 def _size(at: str) -> Column:
@@ -541,13 +548,25 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     ``component`` is the smallest id that links lead to. Texts with equal sets are one
     class and are compared once. A text without words, or null, has n 0 and is linked
     with nothing. Rows with one id are one document, which links as any of its texts
-    does. Rows without an id take part under :func:`doc_key`, above all ids. An empty
+    does; each row has the size of its own text. Rows without an id take part under :func:`doc_key`, above all ids. An empty
     table has no rows. Shingles are compared by 64-bit hashes of whole words.
     """
-    docs = docs.select(doc_key(doc_id, text).alias("doc"), F.col(f"`{text}`").alias("text"))
-    rows = stored(
-        docs.mapInArrow(_signatures, "doc long, n long, digest binary"), "signatures"
-    )
+    docs = docs.select(doc_key(doc_id, text).alias("id"), F.col(f"`{text}`").alias("text"))
+    docs = docs.select(F.col("id").alias("doc"), "id", "text")
+    rows = stored(docs.mapInArrow(_signatures, _SIGNATURES), "signatures")
+    # Texts that share an id are compared each by itself, under a number of its own.
+    several = rows.groupBy("doc").agg(F.count_distinct("digest").alias("k")).filter("k > 1")
+    several = stored(several.select("doc"), "several-texts")
+    shared = not several.isEmpty()
+    if shared:
+        apart = docs.join(several, "doc", "left_semi").select(
+            text_number("text").alias("doc"), "id", "text"
+        )
+        rest = docs.join(several, "doc", "left_anti")
+        rows = rows.join(several, "doc", "left_anti").unionByName(
+            stored(apart.mapInArrow(_signatures, _SIGNATURES), "signatures-of-shared")
+        )
+        docs = rest.unionByName(apart)
     filled = rows.filter("n > 0")
     classes = stored(filled.groupBy("digest").agg(F.min("doc").alias("first")), "classes")
     copies = filled.select("doc").distinct().join(
@@ -570,13 +589,15 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         hidden = stored(hidden, "hidden")
         if not hidden.isEmpty():
             links = _across(docs, shares, hidden, links)
-    # An id with several texts holds their classes together.
-    several = rows.groupBy("doc").agg(F.count_distinct("digest").alias("k")).filter("k > 1")
-    held = filled.join(several, "doc", "left_semi").join(classes, "digest")
-    links = links.unionAll(held.select(F.col("doc").alias("a"), F.col("first").alias("b")))
+    if shared:  # an id with several texts holds their classes together
+        held = filled.filter("doc <> id").join(classes, "digest")
+        links = links.unionAll(held.select(F.col("id").alias("a"), F.col("first").alias("b")))
     known = components(links).withColumnRenamed("node", "first")
-    grouped = rows.join(classes, "digest", "left").join(known, "first", "left")
-    return grouped.select("doc", "n", F.coalesce("component", "first", "doc").alias("component"))
+    grouped = rows.join(classes, "digest", "left").withColumn("first", F.coalesce("first", "id"))
+    grouped = grouped.join(known, "first", "left")
+    return grouped.select(
+        F.col("id").alias("doc"), "n", F.coalesce("component", "first").alias("component")
+    )
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -161,6 +161,45 @@ def test_similar_groups_match_brute_force(spark, monkeypatch, short):
     assert {r.doc: (r.n, r.component) for r in found.collect()} == brute_groups(docs)
 
 
+def brute_groups_of_rows(rows):
+    """Of rows (id, text), of which those with one id belong together."""
+    found = brute_groups({k: text for k, (_, text) in enumerate(rows)})
+    smallest, before = [doc for doc, _ in rows], None
+    while smallest != before:
+        before, least = smallest, {}
+        names = [(("id", doc), ("part", found[k][1])) for k, (doc, _) in enumerate(rows)]
+        for k, both in enumerate(names):
+            for name in both:
+                least[name] = min(least.get(name, before[k]), before[k])
+        smallest = [min(least[name] for name in both) for both in names]
+    return Counter((doc, found[k][0], smallest[k]) for k, (doc, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("short", [2, 32])
+def test_texts_that_share_an_id_keep_their_links(spark, monkeypatch, short):
+    rng = random.Random(40 + short)
+    words = lambda n: [f"v{rng.randint(0, 90_000)}" for _ in range(n)]
+
+    def near(text):
+        changed = text.split(" ")
+        changed[rng.randrange(len(changed))] = "other"
+        return " ".join(changed)
+
+    few = [" ".join(words(60)) for _ in range(12)]
+    many = [" ".join(words(1000)) for _ in range(6)]
+    # An id with a short and a long text, other ids with a near copy of either.
+    rows = [(10 * i, few[i]) for i in range(6)] + [(10 * i, many[i]) for i in range(6)]
+    rows += [(10 * i + 1, near(few[i])) for i in range(6)] + [(10 * i + 2, near(many[i])) for i in range(3)]
+    # A chain of ids by shared texts, an empty text beside another, repeated rows.
+    rows += [(90, few[6]), (90, few[7]), (80, few[7]), (80, few[8]), (95, near(few[8])), (95, None)]
+    rows += [(70, few[9]), (70, ""), (70, few[9]), (60, "one two"), (61, "One Two"), (61, near(few[10]))]
+    rows += [(200 + i, near(few[10])) for i in range(8)] + [(300, few[11]), (300, few[11])]
+    monkeypatch.setattr(ngram_join, "SHORT", short)
+    monkeypatch.setattr(ngram_join, "_shares", _with_limit(ngram_join._shares, short))
+    found = ngram_join.similar_groups(table(spark, [(i, t, "s") for i, t in rows])).collect()
+    assert Counter((r.doc, r.n, r.component) for r in found) == brute_groups_of_rows(rows)
+
+
 def _with_limit(function, short):
     """The tasks run in processes of their own; the limit goes along."""
 
