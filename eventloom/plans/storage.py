@@ -35,6 +35,7 @@ from eventloom.sources.documents import (
 from eventloom.sources.logs import good_records, parse_lines, quarantine, read_log
 from eventloom.sources.process import process_rows
 from eventloom.streaming.jobs import alert_once, read_alerts, read_log_stream, route_batches
+from eventloom.streaming.state import STATE_STORE, alert_from_state
 
 LOG_COLUMNS = (
     "ts",
@@ -452,24 +453,38 @@ def stream_routing(spark, sf_dir):
     return rows.groupBy("format", "cve_name").agg(F.count("*").alias("events"))
 
 
-@query(
-    "t02_stream_alerts",
-    f"""WITH {CONN_CTE} SELECT cve_name, min(ts) AS ts FROM conn
-        WHERE coalesce("id.resp_p" = 4444, false) OR coalesce("id.orig_p" = 4444, false) GROUP BY 1""",
-)
-def stream_alerts(spark, sf_dir):
-    """One alert per run with a connection on port 4444, from a file stream.
+T02_SQL = f"""WITH {CONN_CTE} SELECT cve_name, min(ts) AS ts FROM conn
+        WHERE coalesce("id.resp_p" = 4444, false) OR coalesce("id.orig_p" = 4444, false) GROUP BY 1"""
 
-    Even records come first and odd ones in a second batch, older or not.
-    """
+
+def _alerts(spark, sf_dir, batches, raise_alerts):
+    """Alerts on port 4444 of records that come in so many batches, older or not."""
     root = work_folder(spark, "alert-logs")
     target, checkpoint = work_folder(spark, "alerts"), work_folder(spark, "checkpoint")
     conn = adapters.zeek_conn(spark, sf_dir).withColumn("value", _lines(None))
-    for rest in (0, 1):
-        part = conn.filter(F.pmod("event_id", F.lit(2)) == rest)
+    for rest in range(batches):
+        part = conn.filter(F.pmod("event_id", F.lit(batches)) == rest)
         lines = part.select("cve_name", F.lit("zeek").alias("format"), "value")
         lines.write.mode("append").partitionBy("cve_name", "format").text(root)
         log = read_log_stream(spark, root, "network", "part-*.txt")
         stream = with_path_columns(good_records(log), "source_path")
-        alert_once(stream, port_match(4444), target, checkpoint).awaitTermination()
+        raise_alerts(stream, port_match(4444), target, checkpoint).awaitTermination()
     return read_alerts(spark, target)
+
+
+@query("t02_stream_alerts", T02_SQL)
+def stream_alerts(spark, sf_dir):
+    """One alert per run with a connection on port 4444, from a file stream."""
+    return _alerts(spark, sf_dir, 2, alert_once)
+
+
+@query("t02_state_alerts", T02_SQL)
+def state_alerts(spark, sf_dir):
+    """The same alerts from keyed state, over three batches and a restart before each."""
+    key, provider = STATE_STORE
+    before = spark.conf.get(key)
+    spark.conf.set(key, provider)
+    try:
+        return _alerts(spark, sf_dir, 3, alert_from_state)
+    finally:
+        spark.conf.set(key, before)

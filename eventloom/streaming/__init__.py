@@ -7,5 +7,15 @@ from eventloom.streaming.jobs import (
     read_log_stream,
     route_batches,
 )
+from eventloom.streaming.state import STATE_STORE, alert_from_state, raised_alerts
 
-__all__ = ["alert_once", "monitor_layout", "read_alerts", "read_log_stream", "route_batches"]
+__all__ = [
+    "STATE_STORE",
+    "alert_from_state",
+    "alert_once",
+    "monitor_layout",
+    "raised_alerts",
+    "read_alerts",
+    "read_log_stream",
+    "route_batches",
+]
