@@ -207,33 +207,33 @@ def whole_views(
 
 OP7_SQL = """
 WITH named AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS speaker,
-    coalesce(text, '') AS said,
-    CASE WHEN conv_id IS NOT NULL THEN floor(turn / 256)::BIGINT END AS part,
-    CASE WHEN conv_id IS NULL OR turn IS NULL THEN md5(concat_ws('|', turn,
-      coalesce(role, 'unknown'), coalesce(text, ''))) END AS alone
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS said,
+    row_number() OVER () AS row_no, conv_id IS NULL OR turn IS NULL AS loose
   FROM conversations
+), turns AS (
+  SELECT *, CASE WHEN loose THEN row_no END AS alone,
+    row_number() OVER (PARTITION BY conv_id, loose ORDER BY turn, speaker, said) - 1 AS place
+  FROM named
 ), views AS (
-  SELECT DISTINCT conv_id, part, alone, speaker AS participant FROM named
-  WHERE speaker <> 'system'
+  SELECT DISTINCT conv_id, alone, speaker AS participant FROM turns WHERE speaker <> 'system'
 ), pieces AS (
-  SELECT v.*, n.turn, n.speaker, n.said,
+  SELECT v.*, n.speaker, n.place, CASE WHEN n.alone IS NULL THEN n.place // 256 END AS part,
     '<|im_start|>' || CASE WHEN n.speaker = 'system' THEN 'system'
       WHEN n.speaker = v.participant THEN 'assistant'
       ELSE 'user name=' || replace(n.speaker, '<|', '< |') END || chr(10) AS head,
     replace(n.said, '<|', '< |') || '<|im_end|>' AS body
-  FROM views v JOIN named n ON v.conv_id IS NOT DISTINCT FROM n.conv_id
-    AND v.part IS NOT DISTINCT FROM n.part AND v.alone IS NOT DISTINCT FROM n.alone
+  FROM views v JOIN turns n
+    ON v.conv_id IS NOT DISTINCT FROM n.conv_id AND v.alone IS NOT DISTINCT FROM n.alone
 ), placed AS (
   SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (
-    PARTITION BY conv_id, part, alone, participant ORDER BY turn, speaker, said
+    PARTITION BY conv_id, alone, participant ORDER BY place
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_char FROM pieces
 )
 SELECT conv_id, part, participant, count(*) AS n_turns,
-  string_agg(head || body || chr(10), '' ORDER BY turn, speaker, said) AS text,
-  string_agg((first_char + length(head))::VARCHAR || ':' || length(body)::VARCHAR, ','
-    ORDER BY turn, speaker, said) FILTER (WHERE speaker = participant) AS masks
-FROM placed GROUP BY conv_id, part, alone, participant
+  string_agg(head || body || chr(10), '' ORDER BY place) AS text,
+  coalesce(string_agg((first_char + length(head))::VARCHAR || ':' || length(body)::VARCHAR, ','
+    ORDER BY place) FILTER (WHERE speaker = participant), '') AS masks
+FROM placed GROUP BY conv_id, alone, part, participant
 """
 
 
