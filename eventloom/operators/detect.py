@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.constants import NORMALISED
+from eventloom.functions.patterns import basic_pattern
 from eventloom.functions.scalars import strip
 from eventloom.schemas import CORRUPT
 
@@ -31,6 +32,12 @@ def established_line(column: str, pattern: str) -> Column:
     return F.col(column).contains(pattern) & F.col(column).contains("ESTABLISHED")
 
 
+def established_match(column: str, pattern: str) -> Column:
+    """True when a text line matches a basic regular expression and has the word
+    ESTABLISHED: the line filter alone, without the search for the pattern's own text."""
+    return F.col(column).rlike(basic_pattern(pattern)) & F.col(column).contains("ESTABLISHED")
+
+
 def not_blank(column: str) -> Column:
     return F.length(strip(F.col(column))) > 0
 

@@ -67,6 +67,23 @@ def established(spark, sf_dir):
     return count(documents).unionByName(count(swapped))
 
 
+@query(
+    "f03_established_patterns",
+    """SELECT doc_id, count(*) AS lines FROM (
+         SELECT doc_id, unnest(string_split(replace(text, ' and ', ' ESTABLISHED '), chr(10))) AS line
+         FROM documents) AS l
+       WHERE regexp_matches(line, '[Tt]h[[:alpha:]]{2,3}[^[:alpha:]]+[b-t]+(e|ing)')
+         AND contains(line, 'ESTABLISHED') GROUP BY 1""",
+)
+def established_patterns(spark, sf_dir):
+    """Lines that match a basic regular expression, one word of the texts swapped."""
+    swapped = F.replace("text", F.lit(" and "), F.lit(" ESTABLISHED "))
+    documents = adapters.table(spark, sf_dir, "documents").select("doc_id", swapped.alias("text"))
+    pattern = r"[Tt]h[[:alpha:]]\{2,3\}[^[:alpha:]]\+[b-t]\+\(e\|ing\)"
+    lines = text_line_rows(documents, "text").filter(detect.established_match("event", pattern))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"))
+
+
 _BLANKS = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(160), chr(8195), chr(12288))"
 
 
