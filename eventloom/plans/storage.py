@@ -219,9 +219,9 @@ def _store(spark, sf_dir):
     return root
 
 
-def _all_events(spark, sf_dir):
+def _all_events(spark, sf_dir, clustered=False):
     def tagged(df, family, log_type):
-        events = fan_out(df, family, ["cve_name", "ts"])
+        events = fan_out(cluster_by_run(df) if clustered else df, family, ["cve_name", "ts"])
         return events.withColumn("log_type", log_type).drop("ts")
 
     http = tagged(adapters.zeek_http(spark, sf_dir), "http", F.lit("http"))
@@ -273,9 +273,10 @@ def run_artefacts(spark, sf_dir):
 
 @query("k01_event_files_rebalanced", _EVENT_COUNTS)
 def event_files_rebalanced(spark, sf_dir):
-    """The same for input that is not clustered by run."""
+    """The same for input that is not clustered by run: its records are, before they are
+    rendered."""
     root = work_folder(spark, "files")
-    write_event_files(_all_events(spark, sf_dir), root, rebalance=True)
+    write_event_files(_all_events(spark, sf_dir, clustered=True), root)
     lines = spark.read.text(root).filter(F.length("value") > 0)
     return lines.groupBy("format", "log_family", "cve_name").agg(F.count("*").alias("events"))
 

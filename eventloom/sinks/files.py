@@ -1,9 +1,11 @@
 """Event files and the event store.
 
 Both are partitioned by format, log family and run. Input that comes from a run
-layout is already clustered by run, so writing needs no shuffle. For input in
-another order ``rebalance`` evens out the files first: Spark then splits a run
-that holds much of the data over many tasks and joins small ones.
+layout is already clustered by run, so writing needs no shuffle. Records in another
+order are best brought together before they are rendered
+(:func:`eventloom.operators.convert.cluster_by_run`). For events that are rendered
+already, ``rebalance`` evens out the files: Spark then splits a run that holds much
+of the data over many tasks and joins small ones, and moves all text once.
 """
 
 from __future__ import annotations
@@ -12,9 +14,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.operators.convert import text_documents
+from eventloom.session import many_writers
 
 PARTITIONS = ("format", "log_family", "cve_name")
 
+# Most of the text is names of fields, which gzip takes out at its fastest. Such files do
+# not split, so that none is large.
+_LINES = {
+    "compression": "gzip",
+    "zlib.compress.level": "BEST_SPEED",
+    "maxRecordsPerFile": 250_000,
+}
+
 
 def _clustered(events: DataFrame, rebalance: bool, keys: tuple[str, ...]) -> DataFrame:
     return events.hint("rebalance", *keys) if rebalance else events
@@ -23,12 +34,14 @@ def _clustered(events: DataFrame, rebalance: bool, keys: tuple[str, ...]) -> Dat
 def write_event_files(
     events: DataFrame, path: str, rebalance: bool = False, mode: str = "append"
 ) -> None:
-    """Events as text files: one JSON object, or one CEF line, per line.
+    """Events as text files, gzipped: one JSON object, or one CEF line, per line.
 
     Columns ``format``, ``log_family``, ``cve_name``, ``event``.
     """
     lines = events.select(*PARTITIONS, F.col("event").alias("value"))
-    _clustered(lines, rebalance, PARTITIONS).write.mode(mode).partitionBy(*PARTITIONS).text(path)
+    writer = _clustered(lines, rebalance, PARTITIONS).write.mode(mode).options(**_LINES)
+    with many_writers(events.sparkSession):
+        writer.partitionBy(*PARTITIONS).text(path)
 
 
 def write_event_store(

@@ -26,3 +26,26 @@ def test_every_event_comes_back(spark, tmp_path):
         (f, k, r, e if f == "cef" else e.replace(" ", "")) for f, k, r, e in rows
     )
     assert {r.log_type for r in found["cim"].collect()} == {"http", "network"}
+
+
+def test_event_files_are_gzipped_and_none_is_sorted_into_place(spark, tmp_path):
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "0")
+    try:
+        run = F.concat(F.lit("r"), (F.col("id") % 20).cast("string"))
+        events = spark.range(20_000).select(
+            F.lit("cim").alias("format"), F.lit("http").alias("log_family"), run.alias("cve_name"),
+            F.concat(F.lit('{"a name that every event has":'), "id", F.lit("}")).alias("event"),
+        )
+        write_event_files(events, str(tmp_path))
+        assert spark.conf.get(key) == "0"
+    finally:
+        spark.conf.set(key, before)
+    files = [f for f in tmp_path.rglob("part-*") if f.is_file()]
+    assert files and all(f.name.endswith(".txt.gz") for f in files)
+    text = events.select(F.sum(F.length("event") + 1)).first()[0]
+    assert sum(f.stat().st_size for f in files) < text / 4
+    lines = spark.read.text(str(tmp_path)).select("cve_name", F.col("value").alias("event"))
+    want = events.select("cve_name", "event")
+    assert lines.exceptAll(want).isEmpty() and want.exceptAll(lines).isEmpty()
