@@ -51,7 +51,9 @@ def write_event_store(
 
     Nothing is written for an empty snapshot.
     """
-    _clustered(events, rebalance, PARTITIONS).write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
+    writer = _clustered(events, rebalance, PARTITIONS).write.mode(mode)
+    with many_writers(events.sparkSession):
+        writer.partitionBy(*PARTITIONS).parquet(path)
 
 
 def write_json_array(events: DataFrame, path: str, most: int = 10_000) -> None:

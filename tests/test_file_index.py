@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
+
 from eventloom.operators import detect, file_index
 from eventloom.sinks import write_event_store
 
@@ -102,3 +104,23 @@ def test_a_store_that_is_not_indexed_is_scanned(spark, tmp_path):
     rows = connections(spark, 5, ["a", "b", "c"])
     rows.write.partitionBy("cve_name").parquet(store)
     same_detection(spark, store, 80)
+
+
+def test_bits_of_a_file_are_those_of_the_bytes_of_its_texts():
+    rng = random.Random(3)
+    texts = [None, "", "a", "ab", "é", "x" * (1 << 20), "the end"]
+    texts += ["".join(rng.choices("ab é😀\0", k=rng.randrange(9))) for _ in range(300)]
+    files = [7] * 100 + [8] * 207
+    batches = [
+        pa.RecordBatch.from_arrays(
+            [pa.array(files[i : i + 50]), pa.array(["r"] * len(files[i : i + 50])),
+             pa.array(texts[i : i + 50], pa.string())], ["file_id", "cve_name", "text"],
+        ) for i in range(0, len(files), 50)
+    ]
+    found = [r for b in file_index._text_bits(iter(batches)) for r in b.to_pylist()]
+    assert [r["file_id"] for r in found] == [7, 8]  # a row a file, not one a trigram
+    for row in found:
+        said = [t.encode() for t, f in zip(texts, files) if f == row["file_id"] and t]
+        want = {file_index._bit(t[i : i + 3]) for t in set(said) for i in range(len(t) - 2)}
+        bits = int.from_bytes(row["bits"], "little")
+        assert {i for i in range(file_index.BITS) if bits >> i & 1} == want
