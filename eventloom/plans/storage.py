@@ -303,7 +303,7 @@ def clustered_files(spark, sf_dir):
 def process_snapshots(spark, sf_dir):
     """Process events keep the time of their snapshot."""
     root = work_folder(spark, "snapshots")
-    proc = adapters.proc(spark, sf_dir)
+    proc = cluster_by_run(adapters.proc(spark, sf_dir))
     rows = fan_out(proc, "process", ["cve_name", "ts"]).withColumnRenamed("ts", "snapshot_ts")
     write_event_store(rows, root)
     return spark.read.parquet(root).groupBy("cve_name").agg(
