@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from eventloom.functions.scalars import SPACE_CLASS, strip
+from eventloom.functions.scalars import SPACE_CLASS
 
-_NOT_SPACE = SPACE_CLASS.replace("[", "[^", 1)
-_SET_PART = f"(?is)^set {SPACE_CLASS}*({_NOT_SPACE}+){SPACE_CLASS}+(.+)$"
+_NOT_SPACE = SPACE_CLASS.replace("[", "[^;", 1)
+# A part up to the next ``;``, stripped. Nothing is tried twice but the end of a value.
+_SET_PART = (
+    rf"(?is)(?:\A|;){SPACE_CLASS}*+set {SPACE_CLASS}*+({_NOT_SPACE}++){SPACE_CLASS}++"
+    rf"({_NOT_SPACE}(?:[^;]*{_NOT_SPACE})?){SPACE_CLASS}*+(?=;|\z)"
+)
 
 
 def option_map(options: Column) -> Column:
@@ -18,28 +22,15 @@ def option_map(options: Column) -> Column:
     hold a key and a value count. The value keeps its inner blanks, and the last
     setting of a key wins.
     """
-    parts = F.transform(F.split(options, ";"), strip)
-    pairs = F.transform(
-        F.filter(parts, lambda p: p.rlike(_SET_PART)),
-        lambda p: F.struct(
-            F.regexp_extract(p, _SET_PART, 1).alias("key"),
-            F.regexp_extract(p, _SET_PART, 2).alias("value"),
-        ),
-    )
-    keys = F.transform(pairs, lambda p: p["key"])
-    # Keep a pair only when its key does not come again further on, so that the
-    # result does not hang on the session's duplicate-key policy.
-    last = F.filter(
-        F.transform(
-            pairs,
-            lambda p, i: F.struct(
-                p["key"].alias("key"),
-                p["value"].alias("value"),
-                F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["key"]).alias("again"),
-            ),
-        ),
-        lambda p: ~p["again"],
-    )
-    return F.map_from_entries(
-        F.transform(last, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value")))
-    )
+    keys, values = (F.regexp_extract_all(options, F.lit(_SET_PART), F.lit(i)) for i in (1, 2))
+    # Bound as a variable, they are found once and not again for every setting.
+    back = F.array(F.struct(F.reverse(keys).alias("keys"), F.reverse(values).alias("values")))
+
+    def last(found: Column) -> Column:
+        names = F.array_distinct(found["keys"])
+        said = F.transform(
+            names, lambda k: F.get(found["values"], F.array_position(found["keys"], k) - 1)
+        )
+        return F.map_from_arrays(F.reverse(names), F.reverse(said))
+
+    return F.transform(back, last)[0]

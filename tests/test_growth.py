@@ -64,3 +64,29 @@ def test_process_records_are_clustered_before_they_are_rendered(spark, monkeypat
     monkeypatch.setattr(storage, "fan_out", told)
     QUERIES["k03_process_snapshots"](spark, SF_DIR)
     assert len(found) == 1 and "RebalancePartitions [cve_name" in found[0]
+
+
+def test_option_map_against_a_model(spark):
+    rng = random.Random(4)
+    bits = ["set ", "SET ", "set", ";", ";", " ", "　", "\n", "a", "B", "é", "k v", "x", "\x00"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(14))) for _ in range(3000)] + [None]
+    space = "[" + STRIP_CHARACTERS + "]"
+    part = re.compile(f"(?is)^set {space}*([^{STRIP_CHARACTERS}]+){space}+(.+)$")
+
+    def model(text):
+        if text is None:
+            return None
+        parts = (part.match(p.strip(STRIP_CHARACTERS)) for p in text.split(";"))
+        return {m[1]: m[2] for m in parts if m}
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in df.select("t", option_map(F.col("t")).alias("m")).collect():
+        assert row.m == model(row.t), repr(row.t)
+
+
+def test_option_map_looks_at_each_setting_once(spark):
+    text = ";".join(f"set K{i % 1500} {i}" for i in range(3000))
+    began = time.monotonic()
+    got = spark.createDataFrame([(text,)], "t string").select(option_map(F.col("t"))).first()[0]
+    assert time.monotonic() - began < 10
+    assert len(got) == 1500 and got["K7"] == "1507"
