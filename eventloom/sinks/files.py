@@ -10,7 +10,7 @@ of the data over many tasks and joins small ones, and moves all text once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.operators.convert import text_documents
@@ -63,19 +63,27 @@ def write_json_array(events: DataFrame, path: str, most: int = 10_000) -> None:
     ever gathered whole.
     """
     keys = ("format", "cve_name", "log_type")
-    # Rows that follow each other in a task share a chunk.
-    chunk = F.floor(F.monotonically_increasing_id() / most).alias("_chunk")
+    # A group's rows of one task are numbered, so that all its arrays but one are full.
+    rows = events.select(
+        *keys, "event", F.spark_partition_id().alias("_task"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    number = F.row_number().over(Window.partitionBy(*keys, "_task").orderBy("_row"))
     array = F.concat(F.lit("["), F.array_join(F.collect_list("event"), ","), F.lit("]"))
     arrays = (
-        events.select(*keys, "event", chunk).groupBy(*keys, "_chunk").agg(array.alias("value"))
+        rows.withColumn("_chunk", F.floor((number - 1) / most))
+        .groupBy(*keys, "_task", "_chunk")
+        .agg(array.alias("value"))
+        .select(*keys, "value")
     )
     # One document to a file, as its readers expect.
-    writer = arrays.drop("_chunk").write.option("maxRecordsPerFile", 1).mode("append")
-    writer.partitionBy(*keys).text(path)
+    writer = arrays.write.option("maxRecordsPerFile", 1).mode("append")
+    with many_writers(events.sparkSession):
+        writer.partitionBy(*keys).text(path)
 
 
 def write_documents(events: DataFrame, path: str, mode: str = "append") -> None:
-    """Search documents as JSON lines, one directory per index.
+    """Search documents as JSON lines, gzipped, one directory per index.
 
     Columns ``format``, ``cve_name``, ``log_type``, ``event``. Loading them into a
     search cluster is the connector's work; its format name and options go in

@@ -90,3 +90,14 @@ def test_option_map_looks_at_each_setting_once(spark):
     got = spark.createDataFrame([(text,)], "t string").select(option_map(F.col("t"))).first()[0]
     assert time.monotonic() - began < 10
     assert len(got) == 1500 and got["K7"] == "1507"
+
+
+def test_arrays_are_full_where_runs_take_turns(spark, tmp_path):
+    path = str(tmp_path / "arrays")
+    write_json_array(events(spark, 4000), path, most=100)
+    documents = spark.read.text(path, wholetext=True)
+    assert documents.count() == 40  # 200 events of each of twenty runs
+    rows = document_rows(documents).select("cve_name", F.to_json("event").alias("event"))
+    assert rows.distinct().count() == 4000
+    sizes = documents.select(F.json_array_length("value").alias("n")).distinct().collect()
+    assert [r.n for r in sizes] == [100]
