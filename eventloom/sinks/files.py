@@ -90,4 +90,5 @@ def write_documents(events: DataFrame, path: str, mode: str = "append") -> None:
     place of ``text``.
     """
     lines = text_documents(events).select("format", F.col("document").alias("value"))
-    lines.write.mode(mode).partitionBy("format").text(path)
+    with many_writers(events.sparkSession):
+        lines.write.mode(mode).options(**_LINES).partitionBy("format").text(path)

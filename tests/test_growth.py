@@ -101,3 +101,11 @@ def test_arrays_are_full_where_runs_take_turns(spark, tmp_path):
     assert rows.distinct().count() == 4000
     sizes = documents.select(F.json_array_length("value").alias("n")).distinct().collect()
     assert [r.n for r in sizes] == [100]
+
+
+def test_search_documents_are_gzipped(spark, tmp_path):
+    write_documents(events(spark, 5000), str(tmp_path))
+    files = [f for f in tmp_path.rglob("part-*") if f.is_file()]
+    assert files and all(f.name.endswith(".txt.gz") for f in files)
+    rows = spark.read.json(f"{tmp_path}/format=cim")
+    assert rows.count() == 5000 and set(rows.columns) >= {"cve_name", "log_type"}
