@@ -16,7 +16,7 @@ from eventloom.operators.naming import with_path_columns
 from eventloom.plans import adapters, conversions
 from eventloom.plans.adapters import CONN_CTE, HTTP_CTE, PROC_CTE
 from eventloom.plans.registry import query
-from eventloom.session import work_folder
+from eventloom.session import many_writers, work_folder
 from eventloom.sinks.files import (
     write_documents,
     write_event_files,
@@ -75,9 +75,10 @@ def _log_folder(spark, sf_dir, damaged=False):
             .otherwise(value)
         )
     lines = conn.select("cve_name", F.lit("zeek").alias("format"), value.alias("value"))
-    lines.write.partitionBy("cve_name", "format").option("compression", "none").text(root)
     other = conn.select("cve_name", F.lit("cef").alias("format"), F.col("uid"))
-    other.write.mode("append").partitionBy("cve_name", "format").parquet(root)
+    with many_writers(spark):
+        lines.write.partitionBy("cve_name", "format").option("compression", "none").text(root)
+        other.write.mode("append").partitionBy("cve_name", "format").parquet(root)
     return root
 
 
@@ -323,7 +324,8 @@ def log_tables(spark, sf_dir):
     root = work_folder(spark, "table")
     conn = adapters.zeek_conn(spark, sf_dir).withColumn("log_type", F.lit("network"))
     events = conversions.convert(conn, "network", "cim", ["cve_name", "log_type"], "document")
-    log_table_rows(events, "cim").write.partitionBy("cve_name").parquet(root)
+    with many_writers(spark):
+        log_table_rows(events, "cim").write.partitionBy("cve_name").parquet(root)
     return spark.read.parquet(root).groupBy("cve_name").agg(
         F.sum(F.variant_get("event", "$.bytes", "bigint")).alias("bytes"),
         F.count("created_at").alias("events"),
@@ -466,7 +468,8 @@ def _alerts(spark, sf_dir, batches, raise_alerts):
     for rest in range(batches):
         part = conn.filter(F.pmod("event_id", F.lit(batches)) == rest)
         lines = part.select("cve_name", F.lit("zeek").alias("format"), "value")
-        lines.write.mode("append").partitionBy("cve_name", "format").text(root)
+        with many_writers(spark):
+            lines.write.mode("append").partitionBy("cve_name", "format").text(root)
         log = read_log_stream(spark, root, "network", "part-*.txt")
         stream = with_path_columns(good_records(log), "source_path")
         raise_alerts(stream, port_match(4444), target, checkpoint).awaitTermination()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from eventloom.constants import FORMAT_TABLES
+from eventloom.session import many_writers
 from eventloom.sources.documents import read_format, read_quarantine
 from eventloom.sources.logs import LOG_FILES, by_name, log_records
 
@@ -71,7 +72,10 @@ def route_batches(events: DataFrame, target: str, checkpoint: str) -> StreamingQ
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").partitionBy("format").parquet(f"{target}/batch_id={batch_id}")
+        with many_writers(batch.sparkSession):
+            batch.write.mode("overwrite").partitionBy("format").parquet(
+                f"{target}/batch_id={batch_id}"
+            )
 
     return (
         events.writeStream.foreachBatch(write)

@@ -28,7 +28,7 @@ def events(spark, count):
 
 @pytest.mark.parametrize(
     "name",
-    ["k03_process_snapshots", "k01_clustered_by_run"],
+    ["k03_process_snapshots", "k01_clustered_by_run", "s09_k06_stream_routing", "t01_stream_cim"],
 )
 def test_events_are_not_sorted_into_their_folders(spark, name, monkeypatch):
     """With as many writers as folders, a task's events need no memory of their own."""
