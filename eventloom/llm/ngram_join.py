@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from eventloom.llm.components import components
 from eventloom.llm.registry import query
 from eventloom.llm.text import read_table, stored
+from eventloom.session import setting
 
 WORDS = 5
 # Two sets are similar when 100 * intersection >= PERCENT * union.
@@ -44,6 +45,8 @@ BLOCK = 1024
 # Rows without an id are told apart by a number of their text from here on.
 NO_ID = 1 << 62
 
+# Bytes of texts or sets that a Python worker is sent at a time; by rows they would be many.
+BATCH_BYTES = "4m"
 # Bytes of texts whose words are hashed at a time.
 CHUNK_BYTES = 1 << 18
 _ONE = np.uint64(1)
@@ -552,7 +555,12 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     table has no rows. Shingles are compared by 64-bit hashes of whole words.
     """
     docs = docs.select(doc_key(doc_id, text).alias("id"), F.col(f"`{text}`").alias("text"))
-    docs = docs.select(F.col("id").alias("doc"), "id", "text")
+    # Every step that sends texts or sets to Python is stored in here.
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES):
+        return _grouped(docs.select(F.col("id").alias("doc"), "id", "text"))
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
     rows = stored(docs.mapInArrow(_signatures, _SIGNATURES), "signatures")
     # Texts that share an id are compared each by itself, under a number of its own.
     several = rows.groupBy("doc").agg(F.count_distinct("digest").alias("k")).filter("k > 1")

@@ -7,7 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from eventloom.llm import quality
+from eventloom.llm import ngram_join, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -99,3 +99,19 @@ def test_an_empty_table_goes_through(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_ngram_join_sends_texts_in_batches_of_bounded_bytes(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen, write = spark.conf.get(key, None), [], ngram_join.stored
+
+    def told(df, purpose):
+        seen.append(df.sparkSession.conf.get(key))
+        return write(df, purpose)
+
+    monkeypatch.setattr(ngram_join, "stored", told)
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f")], "doc_id long, text string")
+    groups = ngram_join.similar_groups(docs).collect()
+    assert sorted((r.doc, r.component) for r in groups) == [(1, 1), (2, 1)]
+    assert seen and set(seen) == {ngram_join.BATCH_BYTES}
+    assert spark.conf.get(key, None) == before
