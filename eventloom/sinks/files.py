@@ -10,11 +10,14 @@ of the data over many tasks and joins small ones, and moves all text once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.operators.convert import text_documents
-from eventloom.session import many_writers
+from eventloom.session import many_writers, small_shares
 
 PARTITIONS = ("format", "log_family", "cve_name")
 
@@ -31,6 +34,17 @@ def _clustered(events: DataFrame, rebalance: bool, keys: tuple[str, ...]) -> Dat
     return events.hint("rebalance", *keys) if rebalance else events
 
 
+@contextmanager
+def _writing(spark: SparkSession, rebalance: bool) -> Iterator[None]:
+    """Events that are moved themselves are not made any larger in their task."""
+    with many_writers(spark):
+        if rebalance:
+            yield
+        else:
+            with small_shares(spark):
+                yield
+
+
 def write_event_files(
     events: DataFrame, path: str, rebalance: bool = False, mode: str = "append"
 ) -> None:
@@ -40,7 +54,7 @@ def write_event_files(
     """
     lines = events.select(*PARTITIONS, F.col("event").alias("value"))
     writer = _clustered(lines, rebalance, PARTITIONS).write.mode(mode).options(**_LINES)
-    with many_writers(events.sparkSession):
+    with _writing(events.sparkSession, rebalance):
         writer.partitionBy(*PARTITIONS).text(path)
 
 
@@ -52,7 +66,7 @@ def write_event_store(
     Nothing is written for an empty snapshot.
     """
     writer = _clustered(events, rebalance, PARTITIONS).write.mode(mode)
-    with many_writers(events.sparkSession):
+    with _writing(events.sparkSession, rebalance):
         writer.partitionBy(*PARTITIONS).parquet(path)
 
 

@@ -12,8 +12,15 @@ from pyspark.sql.readwriter import DataFrameWriter
 
 from eventloom.functions import option_map
 from eventloom.functions.scalars import STRIP_CHARACTERS
+from eventloom.operators import cluster_by_run
 from eventloom.plans import QUERIES
-from eventloom.sinks import write_documents, write_json_array
+from eventloom.session import setting
+from eventloom.sinks import (
+    write_documents,
+    write_event_files,
+    write_event_store,
+    write_json_array,
+)
 from eventloom.sources import document_rows
 from tests.test_queries import SF_DIR
 
@@ -51,6 +58,35 @@ def test_events_are_not_sorted_into_their_folders(spark, name, monkeypatch):
         spark.conf.set(key, before)
 
 
+@pytest.mark.parametrize("write", [write_event_files, write_event_store])
+def test_a_task_renders_a_small_share_of_clustered_records(spark, write, tmp_path):
+    """Many runs are more folders than a task keeps open: it sorts the events of its share."""
+    key, shares = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    records = spark.range(0, 200_000, 1, 16).select(
+        F.concat(F.lit("r"), (F.col("id") % 60).cast("string")).alias("cve_name"),
+        F.sha2(F.col("id").cast("string"), 512).alias("text"),
+    )
+    rendered = cluster_by_run(records).select(
+        F.explode(F.array(F.lit("cim"), F.lit("cef"), F.lit("udm"))).alias("format"),
+        F.lit("http").alias("log_family"), "cve_name",
+        F.concat(F.spark_partition_id().cast("string"), F.lit(" "), "text").alias("event"),
+    )
+    with setting(spark, shares, "2"):
+        write(rendered, str(tmp_path))
+    assert spark.conf.get(key) == before
+    files = spark.read.text if write is write_event_files else spark.read.parquet
+    rows = files(str(tmp_path)).withColumnRenamed("value", "event")
+    tasks = rows.groupBy(F.split("event", " ")[0].alias("task")).agg(
+        F.count("*").alias("events"), F.count_distinct("cve_name", "format").alias("folders")
+    )
+    found = tasks.collect()
+    assert sum(t.events for t in found) == 600_000
+    # 28 MB or so are moved, in two parts.
+    assert max(t.events for t in found) < 200_000
+    assert rows.select("cve_name", "format").distinct().count() == 180
+
+
 def test_process_records_are_clustered_before_they_are_rendered(spark, monkeypatch):
     from eventloom.plans import storage
 
