@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.llm.registry import query
-from eventloom.llm.text import BLANKS, ascii_lower, lines, read_table, stored
+from eventloom.llm.text import BLANKS, ascii_lower, lines, no_rows, read_table, stored
 
 LEAST_CHARS = 10
 # Salts part the lines of one shard, so that a key in every document is looked up in
@@ -200,9 +200,9 @@ class LineIndex:
     @staticmethod
     def empty(spark: SparkSession, shards: int = SHARDS) -> LineIndex:
         return LineIndex(
-            spark.createDataFrame([], "doc long, key binary"),
-            spark.createDataFrame([], "key binary, n_docs long, owner long"),
-            spark.createDataFrame([], "shard int, filter binary"),
+            no_rows(spark, "doc long, key binary"),
+            no_rows(spark, "key binary, n_docs long, owner long"),
+            no_rows(spark, "shard int, filter binary"),
             shards,
         )
 

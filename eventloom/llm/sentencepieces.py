@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import partial
 
 import numpy as np
@@ -248,6 +249,17 @@ def _codecs(vocabulary: Vocabulary):
     return partial(_codec, vocabulary.key, vocabulary, trie)
 
 
+@contextmanager
+def _at_work(codec: Codec) -> Iterator[Codec]:
+    """The codec for one task. The worker outlives it and runs other steps, so what the
+    task has gathered goes with it; the trie stays."""
+    try:
+        yield codec
+    finally:
+        codec.segments.forget()
+        pa.default_memory_pool().release_unused()
+
+
 def _slices(batch: pa.Array) -> Iterator[pa.Array]:
     """A batch of texts or id lists in slices of bounded bytes, one row at least."""
     offsets = batch.offsets.to_numpy() if pa.types.is_list(batch.type) else None
@@ -289,10 +301,10 @@ def encoder(vocabulary: Vocabulary):
 
     @F.arrow_udf("array<int>")
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = make()
-        for batch in texts:
-            for part in _slices(batch):
-                yield _lists(*_encoded(codec, part))
+        with _at_work(make()) as codec:
+            for batch in texts:
+                for part in _slices(batch):
+                    yield _lists(*_encoded(codec, part))
 
     return encode
 
@@ -318,12 +330,12 @@ def round_trip(vocabulary: Vocabulary):
 
     @F.arrow_udf("struct<ids array<int>, decoded string>")
     def both(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = make()
-        for batch in texts:
-            for part in _slices(batch):
-                offsets, flat = _encoded(codec, part)
-                columns = [_lists(offsets, flat), _decoded(codec, offsets, flat)]
-                yield pa.StructArray.from_arrays(columns, ["ids", "decoded"])
+        with _at_work(make()) as codec:
+            for batch in texts:
+                for part in _slices(batch):
+                    offsets, flat = _encoded(codec, part)
+                    columns = [_lists(offsets, flat), _decoded(codec, offsets, flat)]
+                    yield pa.StructArray.from_arrays(columns, ["ids", "decoded"])
 
     return both
 

@@ -193,6 +193,10 @@ class Segments:
             slice_.append((before, True))
         yield from self._solved(slice_)
 
+    def forget(self) -> None:
+        """Drops the answers kept so far, which a worker would hold between its tasks."""
+        self.known, self.older = {}, {}
+
     def _solved(self, texts: list[tuple[list[str], bool]]) -> Iterator[tuple[list, bool]]:
         if len(self.known) >= KNOWN_WORDS:
             self.older, self.known = self.known, {}

@@ -7,7 +7,8 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from eventloom.llm import ngram_join, quality
+import pyarrow as pa
+from eventloom.llm import line_dedup, ngram_join, quality, sentencepieces
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -115,3 +116,37 @@ def test_ngram_join_sends_texts_in_batches_of_bounded_bytes(spark, monkeypatch):
     assert sorted((r.doc, r.component) for r in groups) == [(1, 1), (2, 1)]
     assert seen and set(seen) == {ngram_join.BATCH_BYTES}
     assert spark.conf.get(key, None) == before
+
+
+def test_pieces_are_made_in_batches_of_bounded_bytes(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen, write = spark.conf.get(key, None), [], corpus_pipeline.stored
+
+    def told(df, purpose):
+        seen.append(df.sparkSession.conf.get(key))
+        return write(df, purpose)
+
+    monkeypatch.setattr(corpus_pipeline, "stored", told)
+    docs = spark.createDataFrame([(1, "s", "a b"), (2, "s", None)], "doc_id long, source string, text string")
+    found = corpus_pipeline.encoded(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.decoded) for r in found) == [(1, "a b"), (2, "")]
+    assert seen == [ngram_join.BATCH_BYTES] and spark.conf.get(key, None) == before
+
+
+def test_an_empty_line_index_needs_no_python(spark):
+    index = line_dedup.LineIndex.empty(spark)
+    for table in (index.refs, index.counts, index.filters):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.startswith("LocalRelation <empty>") and "RDD" not in plan
+    assert index.counts.dtypes == [("key", "binary"), ("n_docs", "bigint"), ("owner", "bigint")]
+
+
+def test_a_worker_keeps_no_words_between_tasks():
+    vocabulary = sentencepieces.read_vocabulary()
+    make = sentencepieces._codecs(vocabulary)
+    encode = sentencepieces.round_trip(vocabulary).func
+    found = next(parts := encode(iter([pa.array(["some words to keep", None])])))
+    codec = make()
+    assert codec.segments.known and found.field("decoded").to_pylist() == ["some words to keep", ""]
+    assert not list(parts) and not codec.segments.known and not codec.segments.older
+    assert make() is codec
